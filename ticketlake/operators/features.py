@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -32,7 +33,7 @@ def vocabulary(with_terms: DataFrame, min_df: int, max_features: int, terms: str
     place; document frequency and total are then two counts of one map-side-combined aggregation and
     the only exchange is by term. Ties on the total go to the smaller term.
     """
-    ordered = F.array_sort(terms).alias("sorted")
+    ordered = F.sort_array(terms).alias("sorted")
     marked = with_terms.select(ordered).select(F.explode(F.transform(
         "sorted",
         lambda t, i: F.struct(
@@ -75,17 +76,20 @@ class TfidfModel:
         """Add ``idx`` (term positions, ascending) and ``val`` (weights of unit length)."""
         if not self.terms:
             return df.withColumns({"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")})
+        if not self.sublinear:
+            v = F.unwrap_udt("_v")
+            unit = self.transform_vector(df, text, "_v")
+            return unit.withColumns({"idx": v["indices"], "val": v["values"]}).drop("_v")
         tf, w = F.unwrap_udt("_tf"), F.unwrap_udt("_w")
-        raw = w["values"]
-        if self.sublinear:
-            raw = F.zip_with(tf["values"], w["values"], lambda t, x: x / t * (1.0 + F.log(t)))
+        raw = F.zip_with(tf["values"], w["values"], lambda t, x: x / t * (1.0 + F.log(t)))
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
+        # The norm is spread into an array first: inside the lambda it would be computed per element.
+        unit = F.zip_with("_raw", F.array_repeat(norm, F.size("_raw")), lambda x, n: x / n)
         return (
             self._weighed(df, text)
-            .withColumn("idx", tf["indices"])
-            .withColumn("_raw", raw)
-            .withColumn("_norm", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x)))
-            .withColumn("val", F.transform("_raw", lambda x: x / F.col("_norm")))
-            .drop("_tf", "_w", "_raw", "_norm")
+            .withColumns({"idx": tf["indices"], "_raw": raw})
+            .withColumn("val", unit)
+            .drop("_tf", "_w", "_raw")
         )
 
     def transform_vector(self, df: DataFrame, text: Column | str, out: str) -> DataFrame:
@@ -252,7 +256,10 @@ def vector_parts(vector: str) -> tuple[Column, Column]:
 
 def fit_svd(train: DataFrame, vector: str, k: int) -> SvdModel:
     """Truncated SVD of the vector rows, without centring."""
-    rows = MLUtils.convertVectorColumnsFromML(train.select(vector), vector)
-    matrix = RowMatrix(rows)
-    svd = matrix.computeSVD(min(k, matrix.numCols()), computeU=False)
+    rows = MLUtils.convertVectorColumnsFromML(train.select(vector), vector).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        matrix = RowMatrix(rows)
+        svd = matrix.computeSVD(min(k, matrix.numCols()), computeU=False)
+    finally:
+        rows.unpersist()
     return SvdModel(np.asarray(svd.V.toArray()), [float(x) for x in svd.s.toArray()])
