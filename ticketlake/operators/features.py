@@ -55,6 +55,17 @@ def idf_of(df_col: str, n_docs: Column | int) -> Column:
     return F.log((1.0 + n) / (1.0 + F.col(df_col))) + 1.0
 
 
+def _term_counter(spark: SparkSession, terms: list[str], source: str, out: str) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary``, but the terms cross to the JVM as one string.
+
+    The stock call copies the list element by element through the gateway, seconds for a large vocabulary.
+    Terms are words and blanks, so a line break can separate them.
+    """
+    names = spark._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms))
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", names)
+    return model.setInputCol(source).setOutputCol(out)
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """A fitted vectoriser: its terms in alphabetical order and their weights.
@@ -68,7 +79,7 @@ class TfidfModel:
     sublinear: bool
 
     def _weighed(self, df: DataFrame, text: Column | str) -> DataFrame:
-        counter = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf")
+        counter = _term_counter(df.sparkSession, self.terms, "_terms", "_tf")
         weigher = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         return weigher.transform(counter.transform(with_terms(df, text, "_terms"))).drop("_terms")
 

@@ -67,9 +67,10 @@ class FeatureModel:
         staged = _prepare(df, self.blocks, self.divisors)
         if self.tfidf:
             staged = self.tfidf.transform_vector(staged, concat_training(*self.blocks.text), "_text")
-        done = self.stages.transform(staged)
-        helpers = [c for c in done.columns if c.startswith("_") and c not in df.columns]
-        return done.withColumnRenamed("_features", out).drop(*[h for h in helpers if h != "_features"])
+        # The assembler names every vector slot in the column metadata; with a large vocabulary each later
+        # schema lookup would carry all those names, so the metadata is dropped at once.
+        vector = F.col("_features").alias(out, metadata={})
+        return self.stages.transform(staged).select(*df.columns, vector)
 
 
 def _prepare(df: DataFrame, blocks: FeatureBlocks, divisors: dict[str, float]) -> DataFrame:

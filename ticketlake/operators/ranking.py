@@ -30,29 +30,36 @@ def hash_rank(df: DataFrame, key_cols: list[str], seed: int | str, rank_col: str
     )
 
 
-def nth_keys(keyed: DataFrame, targets: DataFrame, widths: list[int | None]) -> DataFrame:
+def prefix_counts(keyed: DataFrame, done: int, width: int | None) -> DataFrame:
+    """Rows per (_group, _prefix, _bucket): key prefixes of ``done`` and of ``width`` characters."""
+    bucket: Column = F.col("_key") if width is None else F.substring("_key", 1, width)
+    scoped = keyed.select("_group", F.substring("_key", 1, done).alias("_prefix"), bucket.alias("_bucket"))
+    return scoped.groupBy("_group", "_prefix", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def nth_keys(keyed: DataFrame, first: DataFrame, targets: DataFrame, widths: list[int | None]) -> DataFrame:
     """The n-th smallest ``_key`` string of a ``_group``, for each row (_group, _which, _n) of ``targets``.
 
     Works down the key like a radix selection: count the keys of a group by their prefix, keep the prefix
     in which the n-th key falls, then look only at the keys under it with the next longer prefix. Each
     step shuffles partial counts, so a group that holds most rows is still counted by all tasks; the
-    last step (width None) compares whole keys inside the last prefix.
+    last step (width None) compares whole keys inside the last prefix. ``first`` is
+    ``prefix_counts(keyed, 0, widths[0])``, which callers also use for group sizes.
     """
     found = targets.select("_group", "_which", "_n", F.lit("").alias("_prefix"))
-    done = 0
+    counts, done = first, 0
     for width in widths:
-        bucket: Column = F.col("_key") if width is None else F.substring("_key", 1, width)
-        scoped = keyed.select("_group", F.substring("_key", 1, done).alias("_prefix"), bucket.alias("_bucket"))
-        counts = scoped.groupBy("_group", "_prefix", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
         if done:
-            counts = scoped.join(found.select("_group", "_prefix").distinct(), ["_group", "_prefix"], "left_semi")
-            counts = counts.groupBy("_group", "_prefix", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+            wanted = found.select("_group", "_prefix").distinct()
+            inside = keyed.withColumn("_prefix", F.substring("_key", 1, done)).join(
+                wanted, ["_group", "_prefix"], "left_semi"
+            )
+            counts = prefix_counts(inside, done, width)
         upto = F.sum("_c").over(
             Window.partitionBy("_group", "_prefix").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         )
-        cumulated = counts.withColumn("_upto", upto)
         found = (
-            found.join(cumulated, ["_group", "_prefix"])
+            found.join(counts.withColumn("_upto", upto), ["_group", "_prefix"])
             .where((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("_c") < F.col("_n")))
             .select("_group", "_which", (F.col("_n") - F.col("_upto") + F.col("_c")).alias("_n"),
                     F.col("_bucket").alias("_prefix"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ticketlake.functions.coerce import seeded_hash, unit_interval
-from ticketlake.operators.ranking import hash_rank, nth_keys
+from ticketlake.operators.ranking import hash_rank, nth_keys, prefix_counts
 
 # Split ratios, seeds and names.
 RATIOS = (0.70, 0.15, 0.15)
@@ -13,6 +13,9 @@ SPLIT_SEED = 42
 SECOND_STAGE_SEED = 43
 SPLITS = ("train", "val", "test")
 
+# Prefixes of the temporal sort key: day, second, microsecond plus four hash digits, whole key.
+_KEY_PREFIXES = [10, 19, 30, None]
+
 
 def grouped_split(df: DataFrame, group: str, ratios=RATIOS, seed: int = SPLIT_SEED) -> DataFrame:
     """Assign whole groups of equal fingerprints to one split.
@@ -65,7 +68,8 @@ def stratified_temporal_split(
             F.col(id_col).cast("string"),
         ),
     })
-    sizes = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+    first = prefix_counts(keyed, 0, _KEY_PREFIXES[0])
+    sizes = first.groupBy("_group").agg(F.sum("_c").alias("_size"))
     n_train = F.floor(F.col("_size") * F.lit(float(ratios[0])))
     n_val = F.floor(F.col("_size") * F.lit(float(ratios[1])))
     targets = sizes.select(
@@ -75,8 +79,7 @@ def stratified_temporal_split(
             F.struct(F.lit("val").alias("_which"), (n_train + n_val).alias("_n")),
         )),
     ).where("_n > 0")
-    # Prefixes of the key: day, second, microsecond plus four hash digits, whole key.
-    cuts = nth_keys(keyed.select("_group", "_key"), targets, [10, 19, 30, None])
+    cuts = nth_keys(keyed.select("_group", "_key"), first, targets, _KEY_PREFIXES)
     per_group = cuts.groupBy("_group").agg(
         F.max(F.when(F.col("_which") == "train", F.col("_key"))).alias("_train_cut"),
         F.max(F.when(F.col("_which") == "val", F.col("_key"))).alias("_val_cut"),

@@ -23,34 +23,44 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.transform(parts, collapse_whitespace), lambda s: s != "")
 
 
+_TABLE_CELLS = 2_000_000
+
+
 def _ranker(max_sentences: int, damping: float, epsilon: float):
     def choose(word_lists) -> list[int]:
         """Positions of the best sentences, in text order.
 
         The similarity of two sentences is their number of common word pairs over the sum of the logs of
-        their lengths. The divisor depends on the lengths alone, so similarity times a vector is one
-        sparse product per distinct sentence length: the pairs themselves are never formed.
+        their lengths. The divisor depends on the lengths alone, so similarity times a vector is a sum
+        per (length, word), mixed over the distinct lengths: the pairs themselves are never formed.
         """
         n = len(word_lists)
         if n <= max_sentences:
             return list(range(n))
         size = np.array([len(w) for w in word_lists])
-        flat = [x for w in word_lists for x in w]
-        if not flat:
+        if not size.any():
             return list(range(max_sentences))
-        word = np.unique(np.array(flat, dtype=object).astype(str), return_inverse=True)[1]
-        sent = np.repeat(np.arange(n), size)
-        n_words = int(word.max()) + 1
-        by_length = [(length, size[sent] == length) for length in np.unique(size[size > 0])]
-        log_size = np.log(np.maximum(size, 1))
+        word, seen = pd.factorize(np.concatenate([np.asarray(w, dtype=object) for w in word_lists if len(w)]))
+        by_word = np.argsort(word, kind="stable")
+        word, sent = word[by_word], np.repeat(np.arange(n), size)[by_word]
+        lengths, length_of = np.unique(size, return_inverse=True)
+        logs = np.log(np.maximum(lengths, 1))
+        divisor = logs[:, None] + logs[None, :]
+        closeness = 1.0 / np.where(divisor > 0, divisor, 1.0)
+        # Words are taken in slices so that the (length, word) table stays small for any text.
+        step = max(1, _TABLE_CELLS // len(lengths))
+        cuts = np.searchsorted(word, np.arange(0, len(seen) + step, step))
+        slices = [(a, b, lo) for a, b, lo in zip(cuts, cuts[1:], range(0, len(seen), step)) if b > a]
 
         def similarity_times(x: np.ndarray) -> np.ndarray:
             total = np.zeros(n)
-            for length, of_length in by_length:
-                mass = np.bincount(word[of_length], weights=x[sent[of_length]], minlength=n_words)
-                common = np.bincount(sent, weights=mass[word], minlength=n)
-                divisor = log_size + np.log(length)
-                total += common / np.where(divisor > 0, divisor, 1.0)
+            for a, b, lo in slices:
+                w, s = word[a:b] - lo, sent[a:b]
+                width = int(w[-1]) + 1
+                cell = length_of[s] * width + w
+                mass = np.bincount(cell, weights=x[s], minlength=len(lengths) * width)
+                spread = closeness @ mass.reshape(len(lengths), width)
+                total += np.bincount(s, weights=spread.ravel()[cell], minlength=n)
             return total
 
         out_weight = similarity_times(np.ones(n))
