@@ -555,6 +555,14 @@ sub AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTIN
 SELECT ticket_id, cat.code AS category_code, sub.code AS subcategory_code, cat.c AS decoded FROM split_docs
 JOIN cat ON coalesce(category, 'unknown') = cat.c JOIN sub ON coalesce(subcategory, 'unknown') = sub.c"""
 
+_CODES = ", ".join(
+    f"{t} AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT coalesce({c}, 'unknown') AS c FROM split_docs WHERE split = 'train'))"
+    for t, c in (("cat", "category"), ("sub", "subcategory"))
+)
+S["feature_tables"] = f"""WITH {SPLIT_DOCUMENTS}, {_CODES}
+SELECT split, cat.code AS y_category, sub.code AS y_subcategory, count(*) AS n FROM split_docs
+JOIN cat ON coalesce(category, 'unknown') = cat.c JOIN sub ON coalesce(subcategory, 'unknown') = sub.c GROUP BY ALL"""
+
 S["feature_metadata"] = f"""WITH {SPLIT_DOCUMENTS}
 SELECT split, count(*) AS n_rows, count(DISTINCT coalesce(category, 'unknown')) AS n_category,
   count(DISTINCT coalesce(subcategory, 'unknown')) AS n_subcategory FROM split_docs GROUP BY split"""

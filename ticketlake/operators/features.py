@@ -13,6 +13,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ticketlake.functions.text import tokens, with_bigrams
+from ticketlake.session import materialize
 
 # Fixed values: (max_features, min_df, sublinear term counts) of the three vectorisers.
 CLASSIFIER_TEXT = {"max_features": 120_000, "min_df": 3, "sublinear": True}
@@ -154,14 +155,13 @@ def to_sparse_vector(size: int):
 def one_hot_long(train: DataFrame, rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(id, feature) with feature ``column=value`` for each value seen in training; a null value is a category.
 
-    The seen values are a distinct over the training columns; the lookup is an equi-join that AQE
-    broadcasts when the value list is small.
+    The seen values are a written table, so the lookup is broadcast when the value list is small.
     """
     def long(df: DataFrame, *keep: str) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
         return df.select(*keep, F.inline(pairs))
 
-    seen = long(train).distinct().withColumnsRenamed({"column": "_column", "value": "_value"})
+    seen = materialize(long(train).distinct().withColumnsRenamed({"column": "_column", "value": "_value"}), "seen-values")
     feature = F.concat(F.col("column"), F.lit("="), F.coalesce("value", F.lit("<null>")))
     return (
         long(rows, id_col)
@@ -185,7 +185,8 @@ def scale_numeric(train: DataFrame, rows: DataFrame, columns: list[str]) -> Data
 def label_classes(train: DataFrame, label: str) -> DataFrame:
     """(class, code): sorted distinct labels of the training rows, null counted as ``unknown``."""
     distinct = train.select(F.coalesce(F.col(label).cast("string"), F.lit(UNKNOWN)).alias("class")).distinct()
-    return distinct.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("bigint").alias("code"))
+    coded = distinct.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("bigint").alias("code"))
+    return materialize(coded, "label-classes")
 
 
 def encode_labels(rows: DataFrame, classes: DataFrame, label: str, out: str = "code") -> DataFrame:

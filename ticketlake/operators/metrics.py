@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ticketlake.functions.coerce import wall_clock_day
 from ticketlake.functions.tags import retrieval_success, sentiment_class
 from ticketlake.functions.text import category_label
+from ticketlake.session import materialize
 
 
 def daily_base(
@@ -96,6 +97,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     weights = class_weights(df, label).select(F.col(label).alias("_label"), F.col("weight").alias(weight_col))
+    weights = materialize(weights, "class-weights")
     return df.join(weights, F.equal_null(F.col(label), F.col("_label"))).drop("_label")
 
 

@@ -63,6 +63,13 @@ class FeatureModel:
     divisors: dict[str, float]
     stages: PipelineModel
 
+    @property
+    def width(self) -> int:
+        """Length of the feature vector."""
+        text = max(len(self.tfidf.terms), 1) if self.tfidf else 0
+        hot = sum(len(labels) for stage in self.stages.stages if hasattr(stage, "labelsArray") for labels in stage.labelsArray)
+        return text + hot + len(self.blocks.numeric)
+
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         staged = _prepare(df, self.blocks, self.divisors)
         if self.tfidf:

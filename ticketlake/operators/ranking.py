@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketlake.functions.coerce import seeded_hash
+from ticketlake.session import materialize
 
 _HASH_PREFIX = 4  # hex digits: 65,536 evenly filled buckets, so the offset table has a fixed size
 
@@ -43,10 +44,11 @@ def nth_keys(keyed: DataFrame, first: DataFrame, targets: DataFrame, widths: lis
     Works down the key like a radix selection: count the keys of a group by their prefix, keep the prefix
     in which the n-th key falls, then look only at the keys under it with the next longer prefix. Each
     step shuffles partial counts, so a group that holds most rows is still counted by all tasks; the
-    last step (width None) compares whole keys inside the last prefix. ``first`` is
+    last step (width None) compares whole keys inside the last prefix. The prefixes kept after a step are
+    written out: two rows per group, so the next step finds its rows by a lookup of known size. ``first`` is
     ``prefix_counts(keyed, 0, widths[0])``, which callers also use for group sizes.
     """
-    found = targets.select("_group", "_which", "_n", F.lit("").alias("_prefix"))
+    found = materialize(targets.select("_group", "_which", "_n", F.lit("").alias("_prefix")), "key-targets")
     counts, done = first, 0
     for width in widths:
         if done:
@@ -58,11 +60,12 @@ def nth_keys(keyed: DataFrame, first: DataFrame, targets: DataFrame, widths: lis
         upto = F.sum("_c").over(
             Window.partitionBy("_group", "_prefix").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         )
-        found = (
+        found = materialize(
             found.join(counts.withColumn("_upto", upto), ["_group", "_prefix"])
             .where((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("_c") < F.col("_n")))
             .select("_group", "_which", (F.col("_n") - F.col("_upto") + F.col("_c")).alias("_n"),
-                    F.col("_bucket").alias("_prefix"))
+                    F.col("_bucket").alias("_prefix")),
+            "key-prefixes",
         )
         done = width or done
     return found.select("_group", "_which", F.col("_prefix").alias("_key"))

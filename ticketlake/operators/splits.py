@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ticketlake.functions.coerce import seeded_hash, unit_interval
 from ticketlake.operators.ranking import hash_rank, nth_keys, prefix_counts
+from ticketlake.session import materialize
 
 # Split ratios, seeds and names.
 RATIOS = (0.70, 0.15, 0.15)
@@ -80,9 +81,12 @@ def stratified_temporal_split(
         )),
     ).where("_n > 0")
     cuts = nth_keys(keyed.select("_group", "_key"), first, targets, _KEY_PREFIXES)
-    per_group = cuts.groupBy("_group").agg(
-        F.max(F.when(F.col("_which") == "train", F.col("_key"))).alias("_train_cut"),
-        F.max(F.when(F.col("_which") == "val", F.col("_key"))).alias("_val_cut"),
+    per_group = materialize(
+        cuts.groupBy("_group").agg(
+            F.max(F.when(F.col("_which") == "train", F.col("_key"))).alias("_train_cut"),
+            F.max(F.when(F.col("_which") == "val", F.col("_key"))).alias("_val_cut"),
+        ),
+        "split-cuts",
     )
     return (
         keyed.join(per_group, "_group", "left")

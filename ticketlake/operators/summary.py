@@ -94,6 +94,7 @@ def extractive_summary(
         for batch in batches:
             yield batch.map(choose)
 
+    text = F.col(text) if isinstance(text, str) else text
     split = df.select(id_col, sentences(text).alias("_sentences"))
     ranked = split.withColumn("_best", chosen(F.transform("_sentences", tokens)))
     picked = F.transform("_best", lambda i: F.get("_sentences", i))

@@ -107,9 +107,8 @@ def splits_roundtrip(spark, sf):
 
 @query
 def metric_tables_roundtrip(spark, sf):
-    base = metrics.daily_base(b.event_tickets(spark, sf))
     root = scratch_path(spark, "metrics")
-    read = tables.ensure_tables(spark, root, lambda: metrics.daily_tables(base), jobs.METRIC_TABLES)
+    read = tables.ensure_tables(spark, root, lambda: jobs.daily_metrics(b.event_tickets(spark, sf)), jobs.METRIC_TABLES)
     measures = {
         n: df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total" if n == "retrieval_daily" else "count").alias("tickets"))
         for n, df in read.items()
@@ -466,12 +465,12 @@ def _scan_columns(scan: DataFrame) -> DataFrame:
 
 @query
 def anomaly_scan(spark, sf):
-    return _scan_columns(anomaly.anomaly_scan(metrics.daily_tables(_base(spark, sf)), z_threshold=TEST_Z))
+    return _scan_columns(anomaly.anomaly_scan(jobs.daily_metrics(b.event_tickets(spark, sf)), z_threshold=TEST_Z))
 
 
 @query
 def anomaly_scan_defaults(spark, sf):
-    return _scan_columns(anomaly.anomaly_scan(metrics.daily_tables(_base(spark, sf, b.order_tickets))))
+    return _scan_columns(anomaly.anomaly_scan(jobs.daily_metrics(b.order_tickets(spark, sf))))
 
 
 # ---- splits -----------------------------------------------------------------------------------
@@ -769,6 +768,24 @@ def solve_batch(spark, sf):
     )
 
 
+@query
+def extractive_answer(spark, sf):
+    index, vectoriser = _index(spark, sf)
+    index = materialize(index, "kb-index")
+    asked = b.document_tickets(spark, sf).withColumn("predicted", F.col("category"))
+    hits = jobs.retrieve(index, vectoriser, asked, k=3)
+    return jobs.synthesize(asked, hits)
+
+
+@query
+def feature_tables(spark, sf):
+    root = scratch_path(spark, "features")
+    tickets = b.document_tickets(spark, sf)
+    jobs.build_features(tickets, root, _blocks())
+    written = spark.read.parquet(f"{root}/features")
+    return written.groupBy("split", "y_category", "y_subcategory").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def graph_nodes(spark, sf):
     return graph.graph_nodes(b.part_documents(spark, sf))

@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ticketlake.functions.text import context_block, fingerprint, query_text, solve_summary
-from ticketlake.operators import anomaly, metrics, models, registry, retrieval, splits
+from ticketlake.operators import anomaly, features, metrics, models, registry, retrieval, splits
 from ticketlake.operators.features import TfidfModel
+from ticketlake.operators.summary import extractive_summary, summary_source
 from ticketlake.schema import TEXT_COLUMNS
+from ticketlake.session import materialize
 from ticketlake.sources.tables import append_run, ensure_tables, write_json_report
 
 METRIC_TABLES = ["daily_total", "daily_by_category", "daily_sentiment", "retrieval_daily"]
 
 
+def daily_metrics(tickets: DataFrame) -> dict[str, DataFrame]:
+    """The four daily tables from one scan of the tickets: their common base is written once."""
+    return metrics.daily_tables(materialize(metrics.daily_base(tickets), "daily-base"))
+
+
 def daily_scan(spark: SparkSession, tickets: DataFrame, root: str, report: str | None = None, **options) -> DataFrame:
     """Build the four metric tables when missing, then run all detectors and write the report."""
-    tables = ensure_tables(
-        spark, root, lambda: metrics.daily_tables(metrics.daily_base(tickets)), METRIC_TABLES
-    )
+    tables = ensure_tables(spark, root, lambda: daily_metrics(tickets), METRIC_TABLES)
     scan = anomaly.anomaly_scan(tables, **options)
     if report:
         write_json_report(scan, report)
@@ -33,6 +38,31 @@ def split_tickets(tickets: DataFrame, seed: int = splits.SPLIT_SEED) -> DataFram
     return splits.grouped_split(hashed, "text_hash", seed=seed)
 
 
+def build_features(
+    tickets: DataFrame, root: str, blocks: models.FeatureBlocks, category: str = "category", subcategory: str = "subcategory",
+) -> models.FeatureModel:
+    """Fit features and label codes on the training split and write features, classes and metadata tables.
+
+    A label of another split that training never saw is an error.
+    """
+    rows = materialize(split_tickets(tickets), "split-tickets")
+    train = rows.where(F.col("split") == "train")
+    fitted = models.fit_features(train, blocks)
+    coded, sizes = rows, {}
+    for target in (category, subcategory):
+        classes = features.label_classes(train, target)
+        classes.write.mode("overwrite").parquet(f"{root}/classes_{target}")
+        coded = features.encode_labels(coded, classes, target, f"y_{target}")
+        sizes[target] = classes.count()
+    out = fitted.transform(coded).select("ticket_id", "split", "features", f"y_{category}", f"y_{subcategory}")
+    out.write.mode("overwrite").partitionBy("split").parquet(f"{root}/features")
+    width = F.lit(fitted.width).cast("bigint").alias("n_features")
+    features.feature_metadata(rows, "split", category, subcategory).withColumn("n_features", width).write.mode(
+        "overwrite"
+    ).json(f"{root}/metadata")
+    return fitted
+
+
 def training_run(spark: SparkSession, tickets: DataFrame, label: str, run_log: str, blocks: models.FeatureBlocks, kind: str = "logistic", **options):
     """Split, train, evaluate on validation and test, and append one run record; a failure is recorded too."""
     run_id, when = uuid.uuid4().hex, time.strftime("%Y-%m-%dT%H:%M:%S")
@@ -82,3 +112,10 @@ def solve(classifier, index: DataFrame, vectoriser: TfidfModel, tickets: DataFra
     joined = answers.join(hits, F.col("ticket_id") == F.col("query_id"), "left").drop("query_id")
     best: Column = F.get("results", F.lit(0))
     return joined.withColumn("summary", solve_summary(best))
+
+
+def synthesize(tickets: DataFrame, hits: DataFrame) -> DataFrame:
+    """Extractive answer per ticket: the best sentences of its own text and of its retrieved context."""
+    joined = tickets.join(context_of(hits), F.col("ticket_id") == F.col("query_id"), "left")
+    source = joined.select("ticket_id", summary_source("subject", "description", "context").alias("_source"))
+    return extractive_summary(source, "ticket_id", "_source").withColumnRenamed("summary", "answer")

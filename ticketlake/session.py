@@ -57,7 +57,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df, name: str):
     """Write an intermediate table to the shared folder and read it back.
 
-    The result survives the loss of any executor, and every consumer reads the same rows.
+    The result survives the loss of any executor and every consumer reads the same rows. Its size is then
+    known when the next query is planned: a lookup under ``spark.sql.autoBroadcastJoinThreshold`` is
+    broadcast without first shuffling the other side, a larger one takes the shuffled join that AQE
+    splits on hot keys.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
