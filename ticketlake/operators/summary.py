@@ -1,18 +1,20 @@
 """Extractive summaries: rank the sentences of each text by their word overlap (TextRank)."""
 
-
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketlake.functions.text import blank_to_null, collapse_whitespace, tokens
+from ticketlake.functions.text import blank_to_null, collapse_whitespace
 
-# Sentences per summary, damping and stopping rule of the ranking.
+# Sentences per summary; damping, stopping rule and row-sum guard of the ranking; a word is a
+# run of letters, apostrophes and hyphens that starts with a letter and touches no digit or underscore.
 MAX_SENTENCES = 6
 DAMPING = 0.85
 EPSILON = 1e-4
+GUARD = 1e-7
+WORD = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}'-]*+(?![\p{N}_])"
 
 # A sentence ends at . ! or ? before whitespace, or at a blank line.
 _SENTENCE_END = r"(?<=[.!?])\s+|\n\s*\n"
@@ -23,6 +25,10 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.transform(parts, collapse_whitespace), lambda s: s != "")
 
 
+def sentence_words(sentence: Column) -> Column:
+    return F.regexp_extract_all(F.lower(sentence), F.lit(WORD), F.lit(0))
+
+
 _TABLE_CELLS = 2_000_000
 
 
@@ -30,9 +36,9 @@ def _ranker(max_sentences: int, damping: float, epsilon: float):
     def choose(word_lists) -> list[int]:
         """Positions of the best sentences, in text order.
 
-        The similarity of two sentences is their number of common word pairs over the sum of the logs of
-        their lengths. The divisor depends on the lengths alone, so similarity times a vector is a sum
-        per (length, word), mixed over the distinct lengths: the pairs themselves are never formed.
+        The similarity of two sentences, or of one with itself, is their number of common word pairs over
+        the sum of the logs of their lengths. The divisor depends on the lengths alone, so similarity times
+        a vector is a sum per (length, word), mixed over the distinct lengths: no pairs are formed.
         """
         n = len(word_lists)
         if n <= max_sentences:
@@ -63,8 +69,7 @@ def _ranker(max_sentences: int, damping: float, epsilon: float):
                 total += np.bincount(s, weights=spread.ravel()[cell], minlength=n)
             return total
 
-        out_weight = similarity_times(np.ones(n))
-        share = np.divide(1.0, out_weight, out=np.zeros(n), where=out_weight > 0)
+        share = 1.0 / (similarity_times(np.ones(n)) + GUARD)
         rank = np.full(n, 1.0 / n)
         while True:
             # The similarity is symmetric, so spreading rank along rows is one product with it.
@@ -96,7 +101,7 @@ def extractive_summary(
 
     text = F.col(text) if isinstance(text, str) else text
     split = df.select(id_col, sentences(text).alias("_sentences"))
-    ranked = split.withColumn("_best", chosen(F.transform("_sentences", tokens)))
+    ranked = split.withColumn("_best", chosen(F.transform("_sentences", sentence_words)))
     picked = F.transform("_best", lambda i: F.get("_sentences", i))
     return ranked.select(
         id_col, F.size("_sentences").cast("bigint").alias("n_sentences"), F.array_join(picked, " ").alias("summary")
