@@ -125,7 +125,7 @@ SELECT ticket_id, category, product, 'unknown' AS severity, false AS escalated,
 
 S["complete_nullable_tickets"] = f"""WITH {DOCUMENTS}
 SELECT ticket_id, NULL::VARCHAR AS region, false AS weekend_ticket, resolution_helpful,
-  NULL::INT AS agent_experience_months FROM doc_tickets"""
+  true AS no_experience FROM doc_tickets"""
 
 S["ticket_json_roundtrip"] = f"""WITH {DOCUMENTS}
 SELECT ticket_id, category, resolution_helpful, ticket_text_length, tags, {digest('description')} FROM doc_tickets"""

@@ -16,7 +16,7 @@ RECORDS = [
 
 
 def test_schema_has_all_fields():
-    assert len(FIELD_TYPES) == 59
+    assert len(FIELD_TYPES) == 60
 
 
 @pytest.mark.parametrize("layout", ["array", "lines"])

@@ -33,6 +33,9 @@ def vocabulary(with_terms: DataFrame, min_df: int, max_features: int, terms: str
     A document is one row, so its first occurrence of each term can be marked by sorting the array in
     place; document frequency and total are then two counts of one map-side-combined aggregation and
     the only exchange is by term. Ties on the total go to the smaller term.
+
+    The total at which the limit falls is read off the (small) table of how many terms have each total, so
+    the final ordering sees the kept terms and the ties at the cut, not max_features terms per partition.
     """
     ordered = F.sort_array(terms).alias("sorted")
     marked = with_terms.select(ordered).select(F.explode(F.transform(
@@ -41,13 +44,20 @@ def vocabulary(with_terms: DataFrame, min_df: int, max_features: int, terms: str
             t.alias("term"), F.coalesce(F.get("sorted", i - 1) != t, F.lit(True)).alias("first")
         ),
     )).alias("o"))
-    return (
+    frequent = (
         marked.groupBy(F.col("o.term").alias("term"))
         .agg(F.count_if("o.first").alias("df"), F.count(F.lit(1)).alias("total"))
         .where(F.col("df") >= min_df)
-        .orderBy(F.col("total").desc(), "term")
-        .limit(max_features)
     )
+    from_top = Window.orderBy(F.col("total").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    totals = frequent.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    cut = (
+        totals.select("total", F.sum("n").over(from_top).alias("upto"))
+        .where(F.col("upto") >= max_features)
+        .agg(F.coalesce(F.max("total"), F.lit(0)))
+        .scalar()
+    )
+    return frequent.where(F.col("total") >= cut).orderBy(F.col("total").desc(), "term").limit(max_features)
 
 
 def idf_of(df_col: str, n_docs: Column | int) -> Column:

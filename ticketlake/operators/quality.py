@@ -95,33 +95,35 @@ TICKET_CHECKS = {
 }
 
 
-def dq_checks(df: DataFrame, non_null=None, time_order=None, ranges=None) -> DataFrame:
-    """One row per check: (check, bad_rows, passed, error). A required column that is absent fails."""
+def _measured_checks(df: DataFrame, non_null, time_order, ranges) -> DataFrame:
+    """One row: the row count and the array of (check, bad_rows), all from a single scan."""
     measures = _check_measures(
         df,
         TICKET_CHECKS["non_null"] if non_null is None else non_null,
         TICKET_CHECKS["time_order"] if time_order is None else time_order,
         TICKET_CHECKS["ranges"] if ranges is None else ranges,
     )
-    measured = df.agg(*[m.alias(f"m{i}") for i, (_, m) in enumerate(measures)])
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("check"), F.col(f"m{i}").alias("bad_rows"))
-        for i, (name, _) in enumerate(measures)
+    measured = df.agg(F.count(F.lit(1)).alias("row_count"), *[m.alias(f"m{i}") for i, (_, m) in enumerate(measures)])
+    bad = [(name, F.col(f"m{i}")) for i, (name, _) in enumerate(measures)]
+    checks = F.array(*[
+        F.struct(
+            F.lit(name).alias("check"), n.alias("bad_rows"), F.coalesce(n == 0, F.lit(False)).alias("passed"),
+            F.when(n.isNull(), "missing_column").alias("error"),
+        )
+        for name, n in bad
     ])
-    return measured.select(F.inline(rows)).select(
-        "check", "bad_rows",
-        F.coalesce(F.col("bad_rows") == 0, F.lit(False)).alias("passed"),
-        F.when(F.col("bad_rows").isNull(), "missing_column").alias("error"),
-    )
+    return measured.select("row_count", checks.alias("checks"))
+
 
+def dq_checks(df: DataFrame, non_null=None, time_order=None, ranges=None) -> DataFrame:
+    """One row per check: (check, bad_rows, passed, error). A required column that is absent fails."""
+    return _measured_checks(df, non_null, time_order, ranges).select(F.inline("checks"))
 
-def dq_report(df: DataFrame, **checks) -> DataFrame:
+
+def dq_report(df: DataFrame, non_null=None, time_order=None, ranges=None) -> DataFrame:
     """One row: overall success, row count and the list of checks."""
-    listed = dq_checks(df, **checks).agg(
-        F.bool_and("passed").alias("success"),
-        F.array_sort(F.collect_list(F.struct("check", "passed", "bad_rows", "error"))).alias("checks"),
-    )
-    return listed.select("success", df.agg(F.count(F.lit(1))).scalar().alias("row_count"), "checks")
+    measured = _measured_checks(df, non_null, time_order, ranges)
+    return measured.select(F.forall("checks", lambda c: c["passed"]).alias("success"), "row_count", "checks")
 
 
 def quality_gate(report: DataFrame, sink_path: str | None = None) -> None:

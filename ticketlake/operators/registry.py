@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ticketlake.session import materialize
+
 # The metrics and parameters a run summary shows, and the stage names.
 SUMMARY_METRICS = ["val_f1_weighted", "test_f1_weighted"]
 SUMMARY_PARAMS = [
@@ -37,7 +39,8 @@ def registry_state(events: DataFrame, archive_on_any_promotion: bool = False) ->
     else the stage it was registered with. An entry left in Production is archived by a later promotion
     of the same model - which can only be of another version - to Production, or to any stage when
     ``archive_on_any_promotion`` is set. So the state needs only the last promotion per version and per
-    model, both partial aggregates; no per-model history is replayed.
+    model, both partial aggregates; no per-model history is replayed. The per-model table is written first,
+    so that it is a lookup of known size and the entries of a busy model are not gathered by name.
     """
     promotions = events.where("action = 'promote'")
     entries = events.where("action = 'register'").select(
@@ -47,7 +50,9 @@ def registry_state(events: DataFrame, archive_on_any_promotion: bool = False) ->
         F.max("seq").alias("_promoted"), F.max_by("stage", "seq").alias("_stage")
     )
     archiving: Column = F.lit(True) if archive_on_any_promotion else F.col("stage") == PRODUCTION
-    last_archiving = promotions.where(archiving).groupBy("name").agg(F.max("seq").alias("_archiving"))
+    last_archiving = materialize(
+        promotions.where(archiving).groupBy("name").agg(F.max("seq").alias("_archiving")), "last-archiving"
+    )
     promoted_later = F.coalesce(F.col("_promoted") > F.col("_registered"), F.lit(False))
     since = F.when(promoted_later, F.col("_promoted")).otherwise(F.col("_registered"))
     stage = F.when(promoted_later, F.col("_stage")).otherwise(F.col("_initial"))

@@ -16,6 +16,8 @@ SPLITS = ("train", "val", "test")
 
 # Prefixes of the temporal sort key: day, second, microsecond plus four hash digits, whole key.
 _KEY_PREFIXES = [10, 19, 30, None]
+# Prefixes of a hex digest: 65,536 even buckets, then 65,536 inside one of them, whole key.
+_DIGEST_PREFIXES = [4, 8, None]
 
 
 def grouped_split(df: DataFrame, group: str, ratios=RATIOS, seed: int = SPLIT_SEED) -> DataFrame:
@@ -37,8 +39,8 @@ def grouped_split_exact(df: DataFrame, group: str, ratios=RATIOS, seed: int = SP
 
     Only distinct fingerprints are ranked; the assignment is joined back to the rows.
     """
-    first = hash_rank(df.select(group).distinct(), [group], seed)
-    n = df.select(F.count_distinct(F.coalesce(F.col(group), F.lit("")))).first()[0]
+    first = materialize(hash_rank(df.select(group).distinct(), [group], seed), "ranked-groups")
+    n = first.count()
     n_train = int(n * ratios[0])
     rest = ratios[1] + ratios[2]
     n_val = int((n - n_train) * (ratios[1] / rest if rest > 0 else 0.5))
@@ -101,8 +103,22 @@ def stratified_temporal_split(
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = SPLIT_SEED) -> DataFrame:
-    """Exactly n rows, chosen by seeded hash order."""
-    return df.orderBy(seeded_hash(seed, id_col), id_col).limit(n)
+    """Exactly the n rows that come first in seeded hash order.
+
+    The n-th smallest key is found by counting prefixes, then a plain filter keeps the rows up to it: no
+    row is shuffled, whatever n and the table size.
+    """
+    keyed = df.withColumn("_key", F.concat_ws("|", seeded_hash(seed, id_col), F.col(id_col).cast("string")))
+    keys = keyed.select(F.lit("").alias("_group"), "_key")
+    first = prefix_counts(keys, 0, _DIGEST_PREFIXES[0])
+    total = first.agg(F.sum("_c")).first()[0] or 0
+    if n >= total:
+        return df
+    if n < 1:
+        return df.limit(0)
+    target = df.sparkSession.createDataFrame([("", "n", n)], "_group string, _which string, _n bigint")
+    cut = nth_keys(keys, first, target, _DIGEST_PREFIXES).first()["_key"]
+    return keyed.where(F.col("_key") <= cut).drop("_key")
 
 
 def head_rows(df: DataFrame, n: int, id_col: str) -> DataFrame:

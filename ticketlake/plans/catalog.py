@@ -56,7 +56,10 @@ def read_project_tickets(spark, sf):
 @query
 def complete_nullable_tickets(spark, sf):
     done = complete_nullable(b.document_tickets(spark, sf))
-    return done.select("ticket_id", "region", "weekend_ticket", "resolution_helpful", "agent_experience_months")
+    return done.select(
+        "ticket_id", "region", "weekend_ticket", "resolution_helpful",
+        F.col("agent_experience_months").isNull().alias("no_experience"),
+    )
 
 
 @query
