@@ -30,23 +30,19 @@ def with_terms(df: DataFrame, text: Column | str, out: str = "terms") -> DataFra
 def vocabulary(with_terms: DataFrame, min_df: int, max_features: int, terms: str = "terms") -> DataFrame:
     """(term, df, total): terms of at least min_df documents, the most frequent max_features of them.
 
-    A document is one row, so its first occurrence of each term can be marked by sorting the array in
-    place; document frequency and total are then two counts of one map-side-combined aggregation and
-    the only exchange is by term. Ties on the total go to the smaller term.
+    A document is one row, so its distinct terms are known in place; document frequency and total are then
+    two counts of one map-side-combined aggregation and the only exchange is by term. Ties on the total go
+    to the smaller term.
 
     The total at which the limit falls is read off the (small) table of how many terms have each total, so
     the final ordering sees the kept terms and the ties at the cut, not max_features terms per partition.
     """
-    ordered = F.sort_array(terms).alias("sorted")
-    marked = with_terms.select(ordered).select(F.explode(F.transform(
-        "sorted",
-        lambda t, i: F.struct(
-            t.alias("term"), F.coalesce(F.get("sorted", i - 1) != t, F.lit(True)).alias("first")
-        ),
-    )).alias("o"))
+    listed = with_terms.select(F.col(terms).alias("all"), F.array_distinct(terms).alias("distinct"))
+    # The distinct terms come first, so the position tells which of the two counts a term adds to.
+    marked = listed.select(F.size("distinct").alias("n"), F.posexplode(F.concat("distinct", "all")).alias("pos", "term"))
     frequent = (
-        marked.groupBy(F.col("o.term").alias("term"))
-        .agg(F.count_if("o.first").alias("df"), F.count(F.lit(1)).alias("total"))
+        marked.groupBy("term")
+        .agg(F.count_if(F.col("pos") < F.col("n")).alias("df"), F.count_if(F.col("pos") >= F.col("n")).alias("total"))
         .where(F.col("df") >= min_df)
     )
     from_top = Window.orderBy(F.col("total").desc()).rowsBetween(Window.unboundedPreceding, 0)
