@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import minhash
+from ticketlake.llm import embeddings, minhash, warc
 from ticketlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,49 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(v, d.doc
        d.doc_id = least(d.doc_id, coalesce(v, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON u = d.doc_id
 """
+
+
+@query
+def op7_warc(spark, sf):
+    read = warc.archive_round_trip(spark, table(spark, sf, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+STATEMENTS["op7_warc"] = r"""
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+    SELECT *, list_reduce(list_prepend('', list_transform(range(1, 41), lambda i:
+        lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0'))), lambda a, b: a || b) AS b FROM hashed
+), coded AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT
+            + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest
+    FROM bits
+), firsts AS (SELECT payload_digest, min(page_id) AS first FROM coded GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM coded JOIN firsts USING (payload_digest)
+"""
+
+
+@query
+def op8_embedding_dedup(spark, sf):
+    return embeddings.near_vectors(table(spark, sf, "embeddings"))
+
+
+STATEMENTS["op8_embedding_dedup"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), steps AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), walk AS (SELECT u, v FROM steps UNION SELECT walk.u, steps.v FROM walk JOIN steps ON walk.v = steps.u
+), least AS (SELECT u, min(v) AS v FROM walk GROUP BY u
+), counts AS (SELECT u, count(*) AS n FROM steps GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.v, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(least.v, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+"""
