@@ -7,8 +7,6 @@ values of the item one to one.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,98 +24,115 @@ PASS_WINDOWS = 2_000_000
 UNITS = frozenset(
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ton tons ml l "
     "litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
-    "year years c f k degree degrees percent % $ dollar dollars cent cents euro euros mph kmh w kw v a hz".split()
+    "year years c f k degree degrees percent dollar dollars cent cents euro euros mph kmh w kw v a hz".split()
 )
-NUMBER, NAME, UNIT = "\x00number", "\x00name", "\x00unit"
-_MARKS = (NUMBER, NAME, UNIT)
-_WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[%$]")
-_NUMBER_WORDS = frozenset(
+#: Words that are numbers.
+NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 )
+#: Kinds of template words, and what stands for them in a template.
+WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+KINDS = "wnmu"
+_MARKS = np.array([0, 0x6E756D626572, 0x6E616D65, 0x756E6974], np.uint64)
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """Template words and the values behind them. A name is a capitalised word inside a sentence; words in capitals
-    throughout are ordinary words, as are capitalised ones at a sentence's start."""
-    template, values = [], []
-    start, previous = True, ""
-    for token in _WORD.findall(text):
-        if token in ".!?\n":
-            start, previous = True, ""
-            continue
-        low = token.lower()
-        if token[0].isdigit() or low in _NUMBER_WORDS:
-            kind = NUMBER
-        elif previous == NUMBER and low in UNITS:
-            kind = UNIT
-        elif token in "%$":
-            continue
-        elif not start and len(token) > 1 and token[0].isupper() and token[1:].islower():
-            kind = NAME
-        else:
-            kind = low
-        template.append(kind)
-        values.append(low)
-        start, previous = False, kind
-    return template, values
-
-
-def _hash(text: str) -> np.ndarray:
-    data = text.encode("utf-8", "replace")
-    return words.word_hashes(np.frombuffer(data, np.uint8), np.zeros(1, np.int64))[0]
-
-
-@functools.cache
-def _marks() -> dict[int, str]:
-    return {int(_hash(m)[0]): m for m in _MARKS}
-
-
-def windows(text: str, size: int = WINDOW) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
-    """Hashes of the template windows of a text (all its words as one window if they are fewer), its template, its values,
-    and whether each window has an ordinary word. Windows of placeholders alone say nothing and are no windows."""
-    template, values = canonical(text)
-    if not template:
-        return np.zeros(0, np.uint64), template, values, np.zeros(0, bool)
-    hashes = _hash(" ".join(template))
-    size = min(size, len(template))
-    runs = words.combine(hashes, size)
-    plain = np.concatenate([[0], np.cumsum([t not in _MARKS for t in template])])
-    return runs, template, values, plain[size:] > plain[:-size]
+def _bytes(characters: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(characters.encode())] = True
+    return found
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("slots", pa.list_(pa.string()))])
-_COLUMNS = "id bigint, hash bigint, place bigint, slots array<string>"
+_DIGIT, _UPPER = _bytes("0123456789"), _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_SMALL = _bytes("abcdefghijklmnopqrstuvwxyz")
+_SMALL[128:] = True  # a byte of another letter
+_SOLID = _DIGIT | _UPPER | _SMALL
+_INNER, _STOP = _bytes(".,:/"), _bytes(".!?\n")
+
+
+def _known(names: frozenset[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(sorted(names)).encode(), np.uint8)
+    return np.sort(words.word_hashes(data, np.zeros(1, np.int64))[0])
+
 
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of the texts in ``data``: hash, kind, first byte, end, and the lowered bytes.
 
-def _slots(template: list[str], values: list[str], at: int, size: int) -> list[str]:
-    return [f"{k}{template[at + k][1]}{values[at + k]}" for k in range(min(size, len(template) - at)) if template[at + k] in _MARKS]
+    Words are runs of ASCII letters, digits and bytes of other letters; a dot, comma, colon or slash between digits
+    belongs to the number. A word that begins with a digit, or is a number word, is a number; a unit word after a number
+    is a unit; a capitalised word inside a sentence is a name. Words in capitals throughout, or at a sentence's start
+    (the text's, or after a full stop, exclamation or question mark or line break), are ordinary. Latin letters with
+    accents are lowered too; other alphabets are compared as they are written.
+    """
+    digit = _DIGIT[data]
+    solid = _SOLID[data]
+    if len(data) > 2:
+        solid[1:-1] |= digit[:-2] & digit[2:] & _INNER[data[1:-1]]
+    low = words.LOWER[data]
+    accent = np.zeros(len(data), bool)
+    accent[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low = low + (accent * 32).astype(np.uint8)
+    hashes, first, end = words.word_hashes(low, offsets[:-1], solid)
+    kind = np.zeros(len(hashes), np.int8)
+    if not len(hashes):
+        return hashes, kind, first, end, low
+    stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~solid)])
+    before = np.concatenate([[0], end[:-1]])
+    opens = stops[first] > stops[before]
+    opens[np.unique(np.searchsorted(first, offsets[:-1])[np.searchsorted(first, offsets[:-1]) < len(first)])] = True
+    wide = np.append(data, np.uint8(32)), np.append(accent, False)
+    tall = accent[np.minimum(first + 1, len(data) - 1)] & (data[first] == 0xC3)
+    second = np.where(tall, np.minimum(first + 2, len(data)), np.minimum(first + 1, len(data)))
+    inside = second < end
+    small = inside & _SMALL[wide[0][second]] & ~wide[1][np.minimum(second + 1, len(data))]
+    kind[(_UPPER[data[first]] | tall) & small & ~opens] = NAME
+    kind[digit[first] | np.isin(hashes, _known(NUMBERS))] = NUMBER
+    after = np.zeros(len(kind), bool)
+    after[1:] = (kind[:-1] == NUMBER) & ~opens[1:]
+    kind[after & (kind != NUMBER) & np.isin(hashes, _known(UNITS))] = UNIT
+    return np.where(kind > 0, _MARKS[kind], hashes), kind, first, end, low
+
+
+_SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("slots", pa.list_(pa.string()))])
+_COLUMNS = "id bigint, hash bigint, place bigint, slots array<string>"
 
 
 def _find(size: int, wanted: bytes | None):
-    """Windows of each text, or those whose hash is among the sorted ``wanted`` ones."""
+    """Template windows of each text (all its words as one window if they are fewer), or those whose hash is among the
+    sorted ``wanted`` ones. Windows of placeholders alone say nothing and are no windows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else np.frombuffer(wanted, np.uint64)
         for batch in it:
             for part in text_slices(batch, BLOCK_BYTES):
-                ids, hashes, places, slots = [], [], [], []
-                for doc, text in zip(part.column("id").to_pylist(), part.column("text")):
-                    text = text.as_py()
-                    runs, template, values, telling = windows(text, size)
-                    if known is not None and len(runs):
-                        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-                        telling = telling & (known[at] == runs)
-                    for p in np.flatnonzero(telling).tolist():
-                        ids.append(doc)
-                        hashes.append(runs[p])
-                        places.append(p)
-                        slots.append(_slots(template, values, p, size))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.int64()),
-                        pa.array(slots, pa.list_(pa.string())),
-                    ], schema=_SCHEMA)
+                data, offsets = text_buffer(part.column("text"))
+                hashes, kind, first, end, low = template(data, offsets)
+                edges = np.searchsorted(first, offsets)
+                runs = words.combine(hashes, size)
+                doc = np.repeat(np.arange(len(part)), np.diff(edges))
+                at = np.arange(len(runs))
+                plain = np.concatenate([[0], np.cumsum(kind == WORD)])
+                good = (doc[: len(runs)] == doc[size - 1 :]) & (plain[size:] > plain[:-size]) if len(runs) else np.zeros(0, bool)
+                if known is not None and len(runs):
+                    good &= known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
+                where, values, widths = at[good], runs[good], np.full(int(good.sum()), size)
+                # Texts of fewer words than a window.
+                for d in np.flatnonzero((np.diff(edges) < size) & (np.diff(edges) > 0)).tolist():
+                    a, b = int(edges[d]), int(edges[d + 1])
+                    if plain[b] > plain[a]:
+                        one = words.combine(hashes[a:b], b - a)
+                        if known is None or known[min(np.searchsorted(known, one[0]), len(known) - 1)] == one[0]:
+                            where, values, widths = np.append(where, a), np.append(values, one), np.append(widths, b - a)
+                if not len(where):
+                    continue
+                slots = [
+                    [f"{k}{KINDS[kind[w + k]]}{low[first[w + k] : end[w + k]].tobytes().decode('utf-8', 'replace')}" for k in np.flatnonzero(kind[w : w + n]).tolist()]
+                    for w, n in zip(where.tolist(), widths.tolist())
+                ]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id").take(pa.array(doc[where])), pa.array(values.view(np.int64)),
+                    pa.array((where - edges[doc[where]]).astype(np.int64)), pa.array(slots, pa.list_(pa.string())),
+                ], schema=_SCHEMA)
 
     return run
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import embeddings, minhash, warc
+from ticketlake.llm import decontamination, embeddings, licences, minhash, packing, warc
 from ticketlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,19 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.v, vec_id
        vec_id = least(vec_id, coalesce(least.v, vec_id)) AS kept
 FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
 """
+
+
+@query
+def op3_packing(spark, sf):
+    pieces = packing.pack_documents(table(spark, sf, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op5_license_scan(spark, sf):
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
+@query
+def op9_decontamination(spark, sf):
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -36,39 +36,42 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of the texts that begin at ``starts`` in ``data`` (ASCII letters lowered).
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, solid: np.ndarray | None = None, block: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of the texts that begin at ``starts`` in ``data``, ASCII letters lowered.
 
-    The bytes are taken in blocks that end between words, so that one very long text needs no more memory for its
-    temporaries than many short ones.
+    Words are runs of ``solid`` bytes (all but white space if not given). The bytes are taken in blocks that end
+    between words, so that one very long text needs no more memory for its temporaries than many short ones.
     """
     first = np.zeros(len(data) + 1, bool)
     first[starts] = True
-    hashes, places, at = [], [], 0
+    solid = ~SPACE[data] if solid is None else solid
+    hashes, places, ends, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + block)
-        while end < len(data) and not (SPACE[data[end]] or first[end]):
+        while end < len(data) and solid[end] and not first[end]:
             # The rest of a word: look for its end a little further on.
             step = min(len(data), end + 4096)
-            gap = np.flatnonzero(SPACE[data[end:step]] | first[end:step])
+            gap = np.flatnonzero(~solid[end:step] | first[end:step])
             end = end + int(gap[0]) if len(gap) else step
-        part, cut = data[at:end], first[at : end + 1].copy()
+        part, body, cut = data[at:end], solid[at:end], first[at : end + 1].copy()
         cut[0] = True
-        solid = ~SPACE[part]
-        begin = solid & cut[:-1]
-        begin[1:] |= solid[1:] & ~solid[:-1]
-        finish = solid & np.append(cut[1:-1], True)
-        finish[:-1] |= solid[:-1] & ~solid[1:]
+        begin = body & cut[:-1]
+        begin[1:] |= body[1:] & ~body[:-1]
+        finish = body & np.append(cut[1:-1], True)
+        finish[:-1] |= body[:-1] & ~body[1:]
         s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
         up, down = _power(len(part) + 1)
         sums = np.zeros(len(part) + 1, U)
         np.cumsum((LOWER[part].astype(U) + U(1)) * up[: len(part)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
         places.append(s + at)
+        ends.append(e + at)
         at = end
     if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(places)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(ends)
 
 
 def combine(words: np.ndarray, size: int) -> np.ndarray:
@@ -84,7 +87,7 @@ def combine(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """For each text, the sorted distinct hashes of its word shingles; all words as one shingle if they are fewer."""
-    words, places = word_hashes(data, offsets[:-1])
+    words, places, _ = word_hashes(data, offsets[:-1])
     edges = np.searchsorted(places, offsets)
     runs = combine(words, size)
     out = []
