@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import decontamination, embeddings, licences, minhash, packing, warc
+from ticketlake.llm import decontamination, embeddings, licences, minhash, packing, quality, toxicity, warc
 from ticketlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,15 @@ def op5_license_scan(spark, sf):
 @query
 def op9_decontamination(spark, sf):
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_toxicity(spark, sf):
+    scored = toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "nearest")
+
+
+@query
+def op6_quality(spark, sf):
+    scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
