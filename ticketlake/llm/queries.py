@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import decontamination, embeddings, licences, minhash, packing, quality, toxicity, warc
+from ticketlake.llm import decontamination, embeddings, html_text, licences, minhash, packing, quality, secret_scan, toxicity, warc
 from ticketlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,10 +114,26 @@ def op9_decontamination(spark, sf):
 @query
 def op4_toxicity(spark, sf):
     scored = toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted", "nearest")
+    return scored.select("doc_id", "held_out", "score", "predicted", "nearest", "matched")
 
 
 @query
 def op6_quality(spark, sf):
     scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_html_extraction(spark, sf):
+    return html_text.extract_text(table(spark, sf, "pages"))
+
+
+@query
+def op10_secret_scan(spark, sf):
+    found = secret_scan.scan_secrets(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "learned")
+    many = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", many("assign"), many("access"), many("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
