@@ -74,6 +74,25 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At most one link less than nodes that connects what the links connect."""
+    parent: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    kept = []
+    for p, q in zip(i.tolist(), j.tolist()):
+        a, b = top(p), top(q)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append((p, q))
+    return np.array(kept, np.int64).reshape(-1, 2).T
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the links (a, b): one row (id, component) for each linked id, component its smallest id.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ticketlake.llm.common import components
+from ticketlake.llm.common import components, spanning
 from ticketlake.session import materialize
 
 # Vectors that the principal axes are fitted on. They only order the work: any axes give the same links.
@@ -118,7 +118,7 @@ def _compare(least: float):
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
             # One link for each row and strip keeps the components: the others go through the same least root.
-            found.append(_spanning(i, j))
+            found.append(spanning(i, j))
         changed = bool(found)
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         while changed:
@@ -133,25 +133,6 @@ def _compare(least: float):
     return run, "id bigint, links bigint, root bigint"
 
 
-def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """At most one link less than nodes that connects what the links connect."""
-    parent: dict[int, int] = {}
-
-    def top(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    kept = []
-    for p, q in zip(i.tolist(), j.tolist()):
-        a, b = top(p), top(q)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((p, q))
-    return np.array(kept, np.int64).reshape(-1, 2).T
-
-
 def near_vectors(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98,
     tile: int = TILE, sample: int = SAMPLE,

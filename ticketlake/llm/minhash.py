@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ticketlake.llm import words
-from ticketlake.llm.common import components, text_buffer, text_rows, text_slices
+from ticketlake.llm.common import components, spanning, text_buffer, text_rows, text_slices
 from ticketlake.session import materialize
 
 # 32 bands of 4 rows: a pair at similarity 0.75 shares no band with probability 5e-6.
 BANDS, ROWS = 32, 4
-#: Buckets up to this size emit their pairs (a constant number for each member); larger ones compare with a pivot.
-SMALL_BUCKET = 24
+#: Buckets up to this size compare all their pairs at once; classes in a block when a larger bucket's rest is compared.
+SMALL_BUCKET, TILE = 16, 256
 _RING = np.uint32
 
 
@@ -126,6 +126,43 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _tile(percent: int):
+    """Links between the classes of two blocks that are not in one component: enough of them to join what is linked."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, parts = group.column("id").to_numpy(), group.column("component").to_numpy()
+        minor = group.column("minor").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], pa.int64())] * 2, schema=schema)
+        known = np.unique(np.concatenate([sets[i] for i in left]))
+        where = []
+        for s in sets:
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            where.append(at[known[at] == s])
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for base in range(0, len(known), 8192):
+            width = min(8192, len(known) - base)
+            both = []
+            for side in (left, right):
+                present = np.zeros((len(side), width), np.float32)
+                for row, i in enumerate(side):
+                    low, high = np.searchsorted(where[i], (base, base + width))
+                    present[row, where[i][low:high] - base] = 1
+                both.append(present)
+            shared += both[0] @ both[1].T
+        n = np.array([len(s) for s in sets], np.int64)
+        count = shared.astype(np.int64)
+        either = n[left][:, None] + n[right][None, :] - count
+        i, j = np.nonzero((count * 100 >= either * percent) & (parts[left][:, None] != parts[right][None, :]))
+        edges = spanning(left[i], right[j])
+        return pa.table([pa.array(ids[edges[0]]), pa.array(ids[edges[1]])], schema=schema)
+
+    return run, "a bigint, b bigint"
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5,
     bands: int = BANDS, rows: int = ROWS,
@@ -134,10 +171,11 @@ def near_duplicates(
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Candidates share a band;
     each link is confirmed on the full sets. Documents with equal sets are one class, represented by its smallest id.
-    Small buckets compare all their classes. A large bucket compares every class with a pivot and goes on without the
-    pivot, keeping only classes that could still join two components: Jaccard distance is a metric, so two classes whose
-    distances from the pivot differ by more than the linking distance cannot be linked. Each round emits rows in
-    proportion to the bucket's members, never their pairs.
+    A bucket of up to SMALL_BUCKET classes compares all their pairs, a larger one every class with a pivot. Jaccard distance
+    is a metric, so of the pivot's component only classes go on whose distance from the pivot is within the linking distance
+    of another component's. In what is left, all classes outside the bucket's largest component meet all others in blocks of
+    TILE, each pair of blocks one task that returns at most a spanning forest of its links. So a group of n near copies
+    costs n comparisons, not n * n; only classes that stay unlinked to the group are compared with all of it.
 
     Null or empty texts have no shingles and link with nothing. Rows that repeat an id count as one document that has
     the links of all of them; each row is returned. A row without id links with nothing, has no component and is kept.
@@ -160,46 +198,60 @@ def near_duplicates(
     # An id that repeats with different sets belongs to several classes: they are one document.
     several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
     links = materialize(member.join(several, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "minhash-links")
-    label = components(links)
-    while not active.isEmpty():
-        state = active.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        state = materialize(state, "minhash-state")
-        open_keys = state.groupBy("key").agg(
-            F.min("id").alias("pivot"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-        ).filter("low < high")
-        state = materialize(state.join(open_keys.select("key", "pivot", "size"), "key"), "minhash-open")
-        small = state.filter(F.col("size") <= SMALL_BUCKET)
-        x, y = small.alias("x"), small.alias("y")
-        close = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-        pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter(
-            (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & close
-        ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        large = state.filter((F.col("size") > SMALL_BUCKET) & (F.col("id") != F.col("pivot")))
-        pairs = pairs.unionByName(large.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct()
-        measured = materialize(_measure(pairs, sets), "minhash-measured")
-        found = measured.filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
-        if not found.isEmpty():
-            links = materialize(links.unionByName(found).distinct(), "minhash-links")
-            label = materialize(components(links), "minhash-labels")
-        # What is left: large buckets without their pivots, and of them only what could still be linked across components.
-        gap = 1.0 - percent / 100 + 1e-9
-        far = measured.groupBy("a", "b").agg(F.min(1.0 - F.col("shared") / F.col("either")).alias("distance"))
-        rest = large.select("key", "pivot", "id", "n").join(
-            far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]
-        ).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        home = label.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
-        rest = materialize(rest.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")), "minhash-rest")
-        outside = F.when(F.col("component") != F.col("home"), F.col("distance"))
-        bounds = rest.groupBy("key").agg(
-            F.min(outside).alias("near"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).filter("low < high")
-        # The pivot's own component is one already: its classes matter only if another one is near enough.
-        active = materialize(
-            rest.join(bounds.select("key", "near"), "key")
-            .filter((F.col("component") != F.col("home")) | (F.col("near") - F.col("distance") <= gap))
-            .select("id", "n", "key"),
-            "minhash-buckets",
-        )
+    # First round: small buckets compare their pairs, larger ones each class with a pivot.
+    state = active.join(
+        active.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")), "key"
+    )
+    state = materialize(state, "minhash-open")
+    few = state.filter(F.col("size") <= SMALL_BUCKET).join(classes.select(F.col("rep").alias("id"), "n", "keys"), ["id", "n"])
+    x = few.select("key", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("keys").alias("k1"))
+    y = few.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("keys").alias("k2"))
+    close = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent  # noqa: E731  sets of other sizes cannot be linked
+    # A pair that shares several buckets is compared in the one of smallest key.
+    once = F.array_min(F.array_intersect("k1", "k2")) == F.col("key")
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & close("n1", "n2") & once)
+    large = state.filter((F.col("size") > SMALL_BUCKET) & (F.col("id") != F.col("pivot")))
+    pivots = large.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    measured = materialize(_measure(pairs.select("a", "b").unionByName(pivots).distinct(), sets), "minhash-measured")
+    linked = F.col("shared") * 100 >= F.col("either") * percent
+    links = materialize(links.unionByName(measured.filter(linked).select("a", "b")).distinct(), "minhash-links")
+    label = materialize(components(links), "minhash-labels")
+    # Second round: what large buckets hold besides their pivots, without what cannot join two components any more.
+    gap = 1.0 - percent / 100 + 1e-9
+    far = measured.groupBy("a", "b").agg(F.min(1.0 - F.col("shared") / F.col("either")).alias("distance"))
+    rest = large.select("key", "pivot", "id").join(far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"])
+    home = label.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
+    rest = rest.join(label, "id", "left").join(home, "pivot", "left").select(
+        "key", "id", "distance", F.coalesce("component", "id").alias("component"), F.coalesce("home", "pivot").alias("home")
+    )
+    rest = materialize(rest, "minhash-rest")
+    outside = F.when(F.col("component") != F.col("home"), F.col("distance"))
+    near = rest.groupBy("key").agg(F.min(outside).alias("near")).filter("near is not null")
+    # The pivot's own component is one already: its classes matter only if another one is near enough.
+    rest = materialize(
+        rest.join(near, "key").filter((F.col("component") != F.col("home")) | (F.col("near") - F.col("distance") <= gap))
+        .select("key", "id", "component"),
+        "minhash-undecided",
+    )
+    shares = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
+    keys = shares.groupBy("key").agg(
+        F.sum("c").alias("size"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("major")
+    ).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    keys = materialize(
+        keys.select("key", "major", blocks(F.col("size") - F.col("most")).alias("rows"), blocks(F.col("size")).alias("columns")), "minhash-tiles"
+    )
+    if not keys.isEmpty():
+        # Classes outside the largest component meet all others of the bucket, block by block.
+        rest = rest.join(keys, "key").withColumn("spot", F.xxhash64("id"))
+        minor = rest.filter("component <> major").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)")))
+        minor = minor.select("key", F.expr("cast(pmod(spot, rows) as int)").alias("row"), "column", F.lit(True).alias("minor"), "id", "component")
+        every = rest.withColumn("row", F.explode(F.expr("sequence(0, rows - 1)")))
+        every = every.select("key", "row", F.expr("cast(pmod(spot, columns) as int)").alias("column"), F.lit(False).alias("minor"), "id", "component")
+        run, schema = _tile(percent)
+        tiles = minor.unionByName(every).join(sets, "id").groupBy("key", "row", "column").applyInArrow(run, schema)
+        links = materialize(links.unionByName(tiles).distinct(), "minhash-links")
+        label = materialize(components(links), "minhash-labels")
     final = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")
     )
