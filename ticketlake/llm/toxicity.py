@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, calibrated votes.
 
-The vocabulary is the terms that separate the labelled classes beyond chance; document frequencies are counted over all
-documents. Examples are kept in blocks of an inverted index that also holds the largest weight of a term in each block:
+The vocabulary is the terms that speak for label 1 beyond chance, counted over examples without their copies, else every
+rare word of a copied document would seem to; document frequencies are counted over all documents. Examples are kept in blocks of an inverted index that also holds the largest weight of a term in each block:
 blocks are visited from the highest possible score down, and the search ends when no block can improve the k nearest.
 """
 
@@ -14,14 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ticketlake.llm.common import fold, text_rows
+from ticketlake.llm import words
+from ticketlake.llm.common import fold, text_buffer, text_rows, text_slices
 from ticketlake.llm.quality import _sigmoid, labelled_ids
 from ticketlake.session import materialize
 
 # Labelled examples of each class, terms of the vocabulary, examples in a block, neighbours that vote.
 MAX_EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 4000, 2000, 64, 15
-#: Least log-likelihood ratio of a term between the classes (one degree of freedom: a chance of 8e-6).
-LEAST_RATIO = 20.0
+#: A term of the vocabulary speaks for label 1 beyond chance (log-likelihood ratio, one degree of freedom: a chance of 8e-6)
+#: and strongly (odds ratio).
+LEAST_RATIO, LEAST_ODDS = 20.0, 4.0
+#: Examples that agree in any of so many least shingles are copies: a pair at similarity 0.75 escapes with a chance of 0.4 %.
+COPIES = 4
+# Documents in a task that looks for neighbours.
+TASK_ROWS = 20_000
 _SPACES = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -30,12 +36,15 @@ def terms_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPACES).split()
 
 
-def _distinct_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("y", pa.int32()), ("term", pa.string())])
+def _example_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each example, and the least of its word shingles under COPIES hash functions."""
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("least", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
     for batch in it:
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text")):
-            found = sorted(set(terms_of(text.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array([t.decode("utf-8") for t in found], pa.string())], schema=schema)
+        for part in text_slices(batch):
+            sets = words.shingle_sets(*text_buffer(part.column("text")))
+            least = [[int(words.mix(s + np.uint64(k)).min().view(np.int64)) if len(s) else k for k in range(1, COPIES + 1)] for s in sets]
+            terms = [sorted(t.decode("utf-8") for t in set(terms_of(x.as_py()))) for x in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(least, schema[2].type), pa.array(terms, schema[3].type)], schema=schema)
 
 
 def _vectors(vocabulary: dict[bytes, int]):
@@ -46,11 +55,11 @@ def _vectors(vocabulary: dict[bytes, int]):
         for batch in it:
             terms, counts = [], []
             for text in batch.column("text"):
-                words = terms_of(text.as_py())
-                hit = wanted.intersection(words)
+                found = terms_of(text.as_py())
+                hit = wanted.intersection(found)
                 tally: dict[int, int] = {}
                 if hit:
-                    for w in words:
+                    for w in found:
                         if w in hit:
                             tally[vocabulary[w]] = tally.get(vocabulary[w], 0) + 1
                 order = sorted(tally)
@@ -152,7 +161,7 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def _score(index: BlockMaxIndex, curve: tuple[float, float], nothing: float, k: int, words: list[str]):
+def _score(index: BlockMaxIndex, curve: tuple[float, float], nothing: float, k: int, vocabulary: list[str]):
     schema = pa.schema([
         ("id", pa.int64()), ("score", pa.float64()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
         ("matched", pa.list_(pa.string())),
@@ -167,7 +176,7 @@ def _score(index: BlockMaxIndex, curve: tuple[float, float], nothing: float, k:
                 if key not in seen:
                     near = index.nearest(terms, counts, k)
                     score = float(_sigmoid(curve[0] * (index.vote(near) - 0.5) + curve[1])) if near else nothing
-                    seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [words[t] for t in terms])
+                    seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [vocabulary[t] for t in terms])
                 out.append(seen[key])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
@@ -181,7 +190,7 @@ def score_toxicity(
     """One row per document: id, held_out, score, predicted, nearest (ids of the neighbours), cosines, matched (terms).
 
     Learns from at most ``examples`` labelled rows of each class outside the held-out part, those with the smallest
-    hashes of their ids, and at most ``max_terms`` terms. Votes are calibrated on the examples, each without itself,
+    hashes of their ids (of copies among them one), and at most ``max_terms`` terms. Votes are calibrated on the examples, each without itself,
     weighted back to the class sizes. A document without any term of the vocabulary has no neighbours and gets the
     share of label 1 among such examples. Null or empty texts are such documents. Rows that repeat an id are scored
     each by its own text; a row without id is never held out. Without labels of both classes no term separates them and
@@ -195,9 +204,15 @@ def score_toxicity(
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(examples)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * ``examples`` ids: small enough to send to every executor.
-    chosen = F.broadcast(materialize(chosen, "toxicity-examples"))
-    terms = source.join(chosen, "id").select("y", "text").mapInArrow(_distinct_terms, "y int, term string")
-    found = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = F.broadcast(materialize(chosen, "toxicity-chosen"))
+    found = source.join(chosen, "id").select("id", "y", "text").mapInArrow(_example_terms, "id bigint, y int, least array<bigint>, terms array<string>")
+    found = materialize(found, "toxicity-found")
+    agree = found.select("id", F.posexplode("least").alias("k", "value"))
+    copy = agree.join(agree.groupBy("k", "value").agg(F.min("id").alias("first")), ["k", "value"]).filter("id > first").select("id").distinct()
+    found = materialize(found.join(copy, "id", "left_anti"), "toxicity-examples")
+    terms = found.select("y", F.explode("terms").alias("term"))
+    chosen = F.broadcast(found.select("id", "y").distinct())
+    found = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(found.get(1, 0)), float(found.get(0, 0))
     counted = terms.groupBy("term").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
     part = lambda n, total, share: F.when(n > 0, n * F.log(n / (F.lit(total) * share))).otherwise(0.0)
@@ -206,12 +221,14 @@ def score_toxicity(
         part(F.col("a"), n1, share) + part(F.col("b"), n0, share)
         + part(F.greatest(n1 - F.col("a"), F.lit(0)), n1, 1 - share) + part(F.greatest(n0 - F.col("b"), F.lit(0)), n0, 1 - share)
     )
-    best = counted.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    words = [r["term"] for r in best.collect()] if n1 and n0 else []
-    run, schema = _vectors({w.encode(): i for i, w in enumerate(words)})
+    half = lambda n, total: (n + 0.5) / (F.greatest(F.lit(total) - n, F.lit(0)) + 0.5)
+    strength = F.log(half(F.col("a"), n1) / half(F.col("b"), n0))
+    best = counted.withColumn("ratio", F.round(ratio, 6)).filter((F.col("ratio") >= LEAST_RATIO) & (strength >= float(np.log(LEAST_ODDS)))).orderBy(F.desc("ratio"), "term").limit(max_terms)
+    vocabulary = [r["term"] for r in best.collect()] if n1 and n0 else []
+    run, schema = _vectors({w.encode(): i for i, w in enumerate(vocabulary)})
     vectors = materialize(source.mapInArrow(run, schema), "toxicity-vectors")
     total = vectors.count()
-    seen = np.zeros(len(words))
+    seen = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         seen[r["t"]] = r["count"]
     idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
@@ -227,8 +244,10 @@ def score_toxicity(
     bare = [(y, weight[y]) for _, y, t, _ in sample if not t]
     nothing = (sum(w for y, w in bare if y) + 0.5) / (sum(w for _, w in bare) + 1.0)
     curve = calibrate(*(np.array(c, np.float64) for c in zip(*votes))) if votes else (0.0, float(np.log(nothing / (1 - nothing))))
-    run, schema = _score(index, curve, nothing, k, words)
-    return vectors.mapInArrow(run, schema).select(
+    run, schema = _score(index, curve, nothing, k, vocabulary)
+    # Vectors are far smaller than their texts, but not the work on them: they are dealt out by their number.
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    return vectors.repartition(tasks).mapInArrow(run, schema).select(
         F.col("id").alias(id_col), F.coalesce(fold("id", parts) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest", "cosines", "matched",
     )
