@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ticketlake.llm.common import components, spanning
+from ticketlake.llm.common import bounded_sample, components, spanning
 from ticketlake.session import materialize
 
 # Vectors that the principal axes are fitted on. They only order the work: any axes give the same links.
@@ -163,7 +163,7 @@ def near_vectors(
     classes = usable.distinct().groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = materialize(classes, "vector-classes")
     member = usable.join(classes, ["label", "vector"]).select("id", "rep", "weight").distinct()
-    chosen = [list(r[0]) for r in classes.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
+    chosen = [list(r[0]) for r in bounded_sample(classes.select("rep", "vector"), "rep", sample).select("vector").collect()]
     run, schema = _rotate(principal_axes(chosen), width)
     turned = materialize(
         classes.select(F.col("rep").alias("id"), "weight", "label", "vector").mapInArrow(run, schema), "vector-turned"

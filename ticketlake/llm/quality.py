@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketlake.llm.common import fold
+from ticketlake.llm.common import bounded_sample, fold
 from ticketlake.session import materialize
 
 # Labelled rows that the rules are fitted on, at most.
@@ -188,7 +188,7 @@ def fit_quality(
     """Fits on at most ``limit`` labelled rows, those with the smallest hashes of their ids."""
     known = labelled_ids(labels, label, parts, held)
     rows = statistics.select(F.col(id_col).cast("bigint").alias("id"), *(F.col(prefix + s).alias(s) for s in STATISTICS)).join(known, "id")
-    rows = rows.orderBy(F.xxhash64("id"), *("id", *STATISTICS)).limit(limit).toPandas()
+    rows = bounded_sample(rows, "id", limit).toPandas().sort_values(["id", *STATISTICS])
     return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
@@ -212,8 +212,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, parts: int = 4, held: int = 2, limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least ``least``. Same cases as ``score_quality``."""
     columns = docs.columns
-    known = labelled_ids(labels, "quality", parts, held).orderBy(F.xxhash64("id"), "id").limit(limit)
-    known = materialize(known, "quality-labelled")
+    known = materialize(bounded_sample(labelled_ids(labels, "quality", parts, held), "id", limit), "quality-labelled")
     # At most ``limit`` ids: small enough to send to every executor, so that no text is shuffled for the fit.
     sample = docs.join(F.broadcast(known.select(F.col("id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi")
     model = fit_quality(with_statistics(sample.select(id_col, text_col), text_col, "_q_"), labels, id_col, prefix="_q_", parts=parts, held=held, limit=limit)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ticketlake.llm import words
-from ticketlake.llm.common import fold, text_buffer, text_rows, text_slices
+from ticketlake.llm.common import bounded_sample, fold, text_buffer, text_rows, text_slices
 from ticketlake.llm.quality import _sigmoid, labelled_ids
 from ticketlake.session import materialize
 
@@ -201,7 +201,7 @@ def score_toxicity(
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(examples)
+        part = bounded_sample(known.filter(F.col("y") == y), "id", examples)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * ``examples`` ids: small enough to send to every executor.
     chosen = F.broadcast(materialize(chosen, "toxicity-chosen"))
