@@ -144,7 +144,7 @@ def _estimator(kind: str, n_classes: int, **options):
             stepSize=options.get("learning_rate", 0.1), subsamplingRate=options.get("subsample", 0.9),
             validationIndicatorCol="_validation", validationTol=0.0, seed=options.get("seed", 42),
         )
-        return OneVsRest(classifier=one, weightCol="_weight", rawPredictionCol="rawPrediction", **common)
+        return OneVsRest(classifier=one, weightCol="_weight", rawPredictionCol="rawPrediction", parallelism=4, **common)
     raise ValueError(f"unknown kind of model: {kind}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -618,12 +619,16 @@ def _train_test(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(rows.where(F.col("split") == s).drop("split") for s in splits.SPLITS)
 
 
+def _together(*parts: DataFrame) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query
 def assembled_features(spark, sf):
-    train, _, test = _train_test(spark, sf)
+    train, val_rows, test = _train_test(spark, sf)
     fitted = models.fit_features(train, _blocks())
     idx, val = features.vector_parts("features")
-    return fitted.transform(test).select(
+    return fitted.transform(_together(train, val_rows, test)).select(
         "ticket_id", F.size(idx).cast("bigint").alias("n_set"), r6(F.aggregate(val, F.lit(0.0), lambda a, x: a + x)).alias("total")
     )
 
@@ -705,9 +710,9 @@ def shuffle_sanity(spark, sf):
 
 @query
 def batch_score(spark, sf):
-    train, _, test = _train_test(spark, sf)
+    train, val, test = _train_test(spark, sf)
     model = models.train_classifier(train, "category", _blocks(), max_iter=20)
-    scored = model.score(test.withColumn("contains_error_code", F.col("error_logs").contains("ERROR_")))
+    scored = model.score(_together(train, val, test).withColumn("contains_error_code", F.col("error_logs").contains("ERROR_")))
     return models.predictions(scored, model.name).withColumn("confidence", r6("confidence"))
 
 
@@ -739,7 +744,9 @@ def query_vectors(spark, sf):
 @query
 def retrieve_topk(spark, sf):
     index, model = _index(spark, sf)
-    index = materialize(index, "kb-index")
+    stored = scratch_path(spark, "kb-index")
+    retrieval.write_index(index, stored)
+    index = retrieval.read_index(spark, stored)
     hits = retrieval.hit_records(retrieval.retrieve_topk(index, _vector_queries(spark, sf, model)), index)
     return hits.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", r6("score").alias("score"), "category", "product",
@@ -757,11 +764,11 @@ def retrieval_context(spark, sf):
 
 @query
 def solve_batch(spark, sf):
-    train, _, test = _train_test(spark, sf)
+    train, val, test = _train_test(spark, sf)
     model = models.train_classifier(train, "category", _blocks(), max_iter=20)
     index, vectoriser = _index(spark, sf)
     index = materialize(index, "kb-index")
-    ready = test.withColumns({
+    ready = _together(train, val, test).withColumns({
         "tags": F.array("product"), "contains_error_code": F.col("error_logs").contains("ERROR_"),
     })
     solved = jobs.solve(model, index, vectoriser, ready)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,8 +36,8 @@ def build_session(app: str = "ticketlake", master: str | None = None, **settings
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder: on a cluster a machine-local path
-    would be lost with its executor.
+    Only a local-mode session may fall back to a temporary folder, which goes when the program ends: on a cluster a
+    machine-local path would be lost with its executor.
     """
     global _local_scratch
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +47,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="ticketlake-")
+        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(_local_scratch)
     return _local_scratch
 

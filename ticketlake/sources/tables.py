@@ -16,11 +16,14 @@ RUN_SCHEMA = (
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table to read. Any other trouble, as a lack of permission, is an error and not a missing table."""
     try:
         spark.read.parquet(path).schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def ensure_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
