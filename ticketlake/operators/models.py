@@ -1,5 +1,6 @@
 """Multiclass training, scoring, evaluation and diagnostic probes on ``pyspark.ml``."""
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ticketlake.functions import tags
 from ticketlake.functions.text import concat_separated, concat_training
@@ -79,6 +80,28 @@ class FeatureModel:
         vector = F.col("_features").alias(out, metadata={})
         return self.stages.transform(staged).select(*df.columns, vector)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Settings as JSON, the vectoriser as a table, the stages as stored by Spark; replaces what is there."""
+        blocks = {"text": self.blocks.text, "categorical": self.blocks.categorical, "numeric": self.blocks.numeric}
+        _write_settings(spark, {"blocks": blocks, "divisors": self.divisors, "vectoriser": self.tfidf is not None}, f"{path}/settings")
+        if self.tfidf:
+            self.tfidf.save(spark, f"{path}/vectoriser")
+        self.stages.write().overwrite().save(f"{path}/stages")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FeatureModel":
+        kept = _read_settings(spark, f"{path}/settings")
+        tfidf = TfidfModel.load(spark, f"{path}/vectoriser") if kept["vectoriser"] else None
+        return FeatureModel(FeatureBlocks(**kept["blocks"]), tfidf, kept["divisors"], PipelineModel.load(f"{path}/stages"))
+
+
+def _write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
 
 def _prepare(df: DataFrame, blocks: FeatureBlocks, divisors: dict[str, float]) -> DataFrame:
     named = {f"_c_{c}": F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in blocks.categorical}
@@ -161,6 +184,18 @@ class Classifier:
         """Add ``predicted`` (class name) and ``confidence`` (its probability). Batch and streaming frames."""
         return _decode(self.model.transform(self.features.transform(df)), self.classes).drop("features")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Everything that scoring needs, for another session; replaces what is there."""
+        _write_settings(spark, {"name": self.name, "classes": self.classes}, f"{path}/settings")
+        self.features.save(spark, f"{path}/features")
+        PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Classifier":
+        kept = _read_settings(spark, f"{path}/settings")
+        model = PipelineModel.load(f"{path}/model").stages[0]
+        return Classifier(kept["name"], FeatureModel.load(spark, f"{path}/features"), model, kept["classes"])
+
 
 def _decode(scored: DataFrame, classes: list[str]) -> DataFrame:
     if "probability" in scored.columns:
