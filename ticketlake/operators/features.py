@@ -264,6 +264,18 @@ class SvdModel:
 
         return df.withColumn(out, project("idx", "val"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = pd.DataFrame({"position": range(len(self.components)), "row": list(self.components)})
+        spark.createDataFrame(rows, "position bigint, row array<double>").write.mode("overwrite").parquet(f"{path}/components")
+        values = list(enumerate(self.singular_values))
+        spark.createDataFrame(values, "position bigint, value double").write.mode("overwrite").parquet(f"{path}/values")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "SvdModel":
+        rows = spark.read.parquet(f"{path}/components").toPandas().sort_values("position")
+        values = spark.read.parquet(f"{path}/values").orderBy("position").collect()  # one row per component
+        return SvdModel(np.stack(rows["row"].to_list()), [r["value"] for r in values])
+
 
 def vector_parts(vector: str) -> tuple[Column, Column]:
     """Positions and values of an ML vector column, sparse or dense."""

@@ -12,7 +12,7 @@ from ticketlake.session import materialize
 
 def daily_base(
     tickets: DataFrame,
-    created: str = "created_at",
+    created: str | None = None,
     category: str = "category",
     sentiment: str = "customer_sentiment",
     helpful: str = "kb_articles_helpful",
@@ -22,7 +22,11 @@ def daily_base(
 
     Partial aggregation reduces every input partition to its distinct keys before the exchange, so a
     category or day that holds most rows costs no more to shuffle than any other.
+
+    The day is that of the creation time as written: ``created_wall`` of ingested tickets, else ``created_at``.
     """
+    if created is None:
+        created = "created_wall" if "created_wall" in tickets.columns else "created_at"
     return (
         tickets.select(
             wall_clock_day(created).alias("created_date"),

@@ -39,6 +39,10 @@ from ticketlake.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TEXT_COLUMNS
 
 _NULL = "<null>"
 
+# Dense dimensions of the two networks.
+TEXT_DIMENSIONS = 256
+FULL_DIMENSIONS = 512
+
 
 @dataclass(frozen=True)
 class FeatureBlocks:
@@ -236,21 +240,57 @@ def train_classifier(
     return Classifier(f"{kind}_category", features, model, classes)
 
 
+@dataclass(frozen=True)
+class TextModel:
+    """Fitted featuriser of text alone: trimmed columns, joined by a separator line, as one vector."""
+
+    text: list[str]
+    tfidf: TfidfModel
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        return self.tfidf.transform_vector(df, concat_separated(*self.text), out)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        _write_settings(spark, {"text": list(self.text)}, f"{path}/settings")
+        self.tfidf.save(spark, f"{path}/vectoriser")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TextModel":
+        return TextModel(_read_settings(spark, f"{path}/settings")["text"], TfidfModel.load(spark, f"{path}/vectoriser"))
+
+
 @dataclass(frozen=True)
 class NetworkClassifier:
     """Features, truncated SVD, centring and scaling, then a feed-forward network."""
 
     name: str
-    features: object
+    features: TextModel | FeatureModel
     svd: SvdModel
     scaler: CenterScaleModel
     model: object
     classes: list[str]
 
     def score(self, df: DataFrame) -> DataFrame:
-        ready = _dense(self.features(df), self.svd, self.scaler)
+        ready = _dense(self.features.transform(df, "_sparse"), self.svd, self.scaler)
         return _decode(self.model.transform(ready), self.classes).drop("features")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Everything that scoring needs, for another session; replaces what is there."""
+        kept = {"name": self.name, "classes": self.classes, "text_only": isinstance(self.features, TextModel),
+                "mean": self.scaler.mean, "std": self.scaler.std}
+        _write_settings(spark, kept, f"{path}/settings")
+        self.features.save(spark, f"{path}/features")
+        self.svd.save(spark, f"{path}/svd")
+        PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "NetworkClassifier":
+        kept = _read_settings(spark, f"{path}/settings")
+        features = (TextModel if kept["text_only"] else FeatureModel).load(spark, f"{path}/features")
+        scaler = CenterScaleModel(kept["mean"], kept["std"])
+        model = PipelineModel.load(f"{path}/model").stages[0]
+        return NetworkClassifier(kept["name"], features, SvdModel.load(spark, f"{path}/svd"), scaler, model, kept["classes"])
+
 
 def _dense(df: DataFrame, svd: SvdModel, scaler: CenterScaleModel | None, vector: str = "_sparse") -> DataFrame:
     idx, val = vector_parts(vector)
@@ -262,9 +302,9 @@ def _dense(df: DataFrame, svd: SvdModel, scaler: CenterScaleModel | None, vector
     )
 
 
-def _train_network(train, label, featurize, name, svd_dim, hidden, max_iter, seed) -> NetworkClassifier:
+def _train_network(train, label, features, name, svd_dim, hidden, max_iter, seed) -> NetworkClassifier:
     classes = _classes(train, label)
-    rows = _with_code(featurize(train), label, classes).select("_sparse", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _with_code(features.transform(train, "_sparse"), label, classes).select("_sparse", "_y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         svd = fit_svd(rows, "_sparse", svd_dim)
         scaler = fit_center_scale(_dense(rows, svd, None), "_dense")
@@ -275,31 +315,26 @@ def _train_network(train, label, featurize, name, svd_dim, hidden, max_iter, see
         model = network.fit(_dense(rows, svd, scaler))
     finally:
         rows.unpersist()
-    return NetworkClassifier(name, featurize, svd, scaler, model, classes)
+    return NetworkClassifier(name, features, svd, scaler, model, classes)
 
 
 def train_text_network(
-    train: DataFrame, label: str, text: list[str], svd_dim: int = 256, hidden: int = 256, max_iter: int = 50,
+    train: DataFrame, label: str, text: list[str], svd_dim: int = TEXT_DIMENSIONS, hidden: int = 256, max_iter: int = 50,
     seed: int = 42, text_settings: dict | None = None,
 ) -> NetworkClassifier:
     """Text-only network on TF-IDF reduced to ``svd_dim`` dimensions."""
     joined = concat_separated(*text)
     tfidf = fit_tfidf(train, joined, **(text_settings or NETWORK_TEXT))
-    return _train_network(
-        train, label, lambda df: tfidf.transform_vector(df, joined, "_sparse"), "text_network", svd_dim, hidden,
-        max_iter, seed,
-    )
+    return _train_network(train, label, TextModel(list(text), tfidf), "text_network", svd_dim, hidden, max_iter, seed)
 
 
 def train_full_network(
-    train: DataFrame, label: str, blocks: FeatureBlocks, svd_dim: int = 512, hidden: int = 256, max_iter: int = 50,
+    train: DataFrame, label: str, blocks: FeatureBlocks, svd_dim: int = FULL_DIMENSIONS, hidden: int = 256, max_iter: int = 50,
     seed: int = 42, text_settings: dict | None = None,
 ) -> NetworkClassifier:
     """Network on all feature blocks; the number of classes follows from the data."""
     features = fit_features(train, blocks, text_settings)
-    return _train_network(
-        train, label, lambda df: features.transform(df, "_sparse"), "full_network", svd_dim, hidden, max_iter, seed
-    )
+    return _train_network(train, label, features, "full_network", svd_dim, hidden, max_iter, seed)
 
 
 def predictions(scored: DataFrame, model_name: str, from_text: bool = False) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ticketlake.functions.coerce import wall_clock
 from ticketlake.schema import BOUNDS, FIELD_TYPES, REQUIRED, SPLIT_REQUIRED
 
 
+# Column of raw records: names of the text and list fields that hold another kind of value.
+WRONG_KIND = "_wrong_kind"
+
+
 class QualityError(RuntimeError):
     """A record set did not pass its quality gate."""
 
@@ -18,11 +23,27 @@ def _typed(name: str, dtype: T.DataType) -> Column:
 
 
 def typed(raw: DataFrame) -> DataFrame:
-    """Raw string records as typed records; values that do not parse become null."""
-    return raw.select([
+    """Raw string records as typed records; values that do not parse become null.
+
+    ``created_wall`` is the creation time as written, without its zone: the day a ticket counts for.
+    """
+    wall = wall_clock("created_at") if "created_at" in raw.columns else F.lit(None).cast("timestamp_ntz")
+    return raw.select(*[
         _typed(f, t).alias(f) if f in raw.columns else F.lit(None).cast(t).alias(f)
         for f, t in FIELD_TYPES.items()
-    ])
+    ], wall.alias("created_wall"))
+
+
+def wrong_kinds(types: dict[str, T.DataType]) -> Column:
+    """Names of the text and list fields, given as variants, that hold another kind of value. Nulls are no fault."""
+    def wrong(name: str, dtype: T.DataType) -> Column:
+        kind = F.schema_of_variant(name)
+        if isinstance(dtype, T.ArrayType):
+            return ~kind.isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>")
+        return ~kind.isin("VOID", "STRING")
+
+    tests = [(n, wrong(n, t)) for n, t in types.items() if isinstance(t, (T.StringType, T.ArrayType))]
+    return F.array_compact(F.array(*[F.when(broken, F.lit(n)) for n, broken in tests]))
 
 
 def violations(
@@ -34,7 +55,8 @@ def violations(
 ) -> DataFrame:
     """One row per broken rule: (id, field, rule) with rule in required, type, min, max.
 
-    Map-only: each record is tested in place and only its failures are emitted.
+    Map-only: each record is tested in place and only its failures are emitted. Text and list fields can only be told
+    from other kinds before they are read as strings: records of ``read_raw`` bring the result of that test.
     """
     types = FIELD_TYPES if types is None else types
     bounds = BOUNDS if bounds is None else bounds
@@ -42,7 +64,11 @@ def violations(
     for name in required:
         tests.append((name, "required", F.col(name).isNull() if name in raw.columns else F.lit(True)))
     for name, dtype in types.items():
-        if name not in raw.columns or isinstance(dtype, (T.StringType, T.ArrayType)):
+        if name not in raw.columns:
+            continue
+        if isinstance(dtype, (T.StringType, T.ArrayType)):
+            if WRONG_KIND in raw.columns:
+                tests.append((name, "type", F.array_contains(WRONG_KIND, name)))
             continue
         value = F.col(name).try_cast(dtype)
         tests.append((name, "type", F.col(name).isNotNull() & value.isNull()))
@@ -126,6 +152,13 @@ def dq_report(df: DataFrame, non_null=None, time_order=None, ranges=None) -> Dat
     return measured.select(F.forall("checks", lambda c: c["passed"]).alias("success"), "row_count", "checks")
 
 
+REPORT = "success boolean, row_count bigint, checks array<struct<check:string,bad_rows:bigint,passed:boolean,error:string>>"
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).json(path)
+
+
 def quality_gate(report: DataFrame, sink_path: str | None = None) -> None:
     """Write the one-row report, then fail when it is not successful."""
     if sink_path:

@@ -107,6 +107,30 @@ def raw_order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of JSON with the offset of their zone. Lines of pending orders are cut off; subjects of open orders
+    are numbers, tags of urgent ones no list."""
+    subject = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey").cast("string")).otherwise(F.lit('"finished"'))
+    tags = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('"urgent"')).otherwise(F.lit('["calm"]'))
+    line = F.format_string(
+        '{"ticket_id":"%s","created_at":"%sT23:30:00-05:00","subject":%s,"description":"d","tags":%s}',
+        F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), subject, tags,
+    )
+    cut = F.when(F.col("o_orderstatus") == "P", F.substring(line, 1, 40)).otherwise(line)
+    return table(spark, sf_dir, "orders").select(cut.alias("value"))
+
+
+def customer_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON arrays of at most 1000 records, one array a row."""
+    record = F.to_json(F.struct(
+        F.col("c_custkey").cast("string").alias("ticket_id"), F.col("c_name").alias("subject"),
+        F.col("c_mktsegment").alias("category"), F.array("c_mktsegment").alias("tags"),
+    ))
+    numbered = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 1000).alias("part"), record.alias("record"))
+    arrays = numbered.groupBy("part").agg(F.array_join(F.collect_list("record"), ",\n").alias("records"))
+    return arrays.select(F.concat(F.lit("["), "records", F.lit("]")).alias("value"))
+
+
 def shipment_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their orders: order date is the creation, shipping the update."""
     joined = table(spark, sf_dir, "lineitem").join(

@@ -74,6 +74,38 @@ def ticket_json_roundtrip(spark, sf):
     )
 
 
+def _delivered_orders(spark, sf) -> str:
+    path = scratch_path(spark, "order-lines")
+    b.order_lines(spark, sf).write.text(path)
+    return path
+
+
+@query
+def ingest_wall_clock_day(spark, sf):
+    arrived = ticket_source.land_tickets(
+        spark, _delivered_orders(spark, sf), scratch_path(spark, "bronze"), "lines", rejects=scratch_path(spark, "rejects")
+    )
+    return metrics.daily_total(metrics.daily_base(arrived)).select(*as_text("created_date"), "count")
+
+
+@query
+def ingest_rejects(spark, sf):
+    return ticket_source.read_rejects(spark, _delivered_orders(spark, sf)).select("record")
+
+
+@query
+def ingest_violations(spark, sf):
+    return quality.violations(ticket_source.read_raw(spark, _delivered_orders(spark, sf)))
+
+
+@query
+def ticket_array_layout(spark, sf):
+    path = scratch_path(spark, "ticket-arrays")
+    b.customer_arrays(spark, sf).write.option("maxRecordsPerFile", 1).text(path)
+    back = ticket_source.read_tickets(spark, path, "array")
+    return back.select("ticket_id", "subject", "category", text.joined("tags").alias("tags"))
+
+
 @query
 def json_props_extract(spark, sf):
     parsed = b.table(spark, sf, "events").select("event_type", F.from_json("props", "k INT").alias("p"))
@@ -85,8 +117,10 @@ def json_props_extract(spark, sf):
 @query
 def union_splits(spark, sf):
     turns = b.table(spark, sf, "conversations")
-    by_role = {r: turns.where(F.col("role") == r).select("conv_id", "turn", "text") for r in ("system", "user", "assistant")}
+    roles = ("system", "user", "assistant")
+    by_role = {r: turns.where(F.col("role") == r).select("conv_id", "turn", "text") for r in roles}
     by_role["system"] = by_role["system"].drop("turn")
+    by_role["other"] = turns.where(~F.coalesce(F.col("role").isin(*roles), F.lit(False))).select("conv_id", "turn", "text")
     return ticket_source.union_splits(by_role).select("split", "conv_id", "turn", *digest(F.col("text")))
 
 
@@ -106,7 +140,7 @@ def splits_roundtrip(spark, sf):
     path = scratch_path(spark, "splits")
     rows = jobs.split_tickets(b.document_tickets(spark, sf))
     tables.write_splits(rows.select("ticket_id", "text_hash", "split"), path)
-    return spark.read.parquet(path).where(F.col("split") == "val").select("ticket_id", "text_hash", "split")
+    return spark.read.parquet(path).select("ticket_id", "text_hash", "split")
 
 
 @query
@@ -124,8 +158,8 @@ def metric_tables_roundtrip(spark, sf):
 def csv_category_counts(spark, sf):
     path = scratch_path(spark, "category-csv")
     rows = jobs.split_tickets(b.document_tickets(spark, sf))
-    tables.write_csv(metrics.category_counts(rows).where("scope = 'split'").drop("scope"), path)
-    return spark.read.option("header", True).schema("split string, category string, n bigint").csv(path)
+    tables.write_csv(metrics.category_counts(rows), path)
+    return spark.read.option("header", True).schema("scope string, split string, category string, n bigint").csv(path)
 
 
 @query
@@ -138,6 +172,31 @@ def json_report_roundtrip(spark, sf):
     return back.select("date", "value", r6("rolling_mean").alias("rolling_mean"), r6("zscore").alias("zscore"), "is_anomaly")
 
 
+@query
+def anomaly_report(spark, sf):
+    path = scratch_path(spark, "scan-report")
+    jobs.daily_scan(spark, b.event_tickets(spark, sf), scratch_path(spark, "metrics"), document=path, z_threshold=TEST_Z)
+    back = jobs.read_scan_report(spark, path)
+    points = back.where("section <> 'params'").select("section", "key", F.inline("points"), "params")
+    settings = back.where("section = 'params'").select("section", "params")
+    return points.unionByName(settings, allowMissingColumns=True).select(
+        "section", "key", "date", *[r6(c).alias(c) for c in ("value", "rolling_mean", "rolling_std", "zscore")], "is_anomaly",
+        F.col("params.window").cast("bigint").alias("window"), "params.z_threshold", "params.failure_threshold",
+    )
+
+
+@query
+def run_log_append(spark, sf):
+    path = scratch_path(spark, "runs")
+    runs = b.run_records(spark, sf)
+    tables.append_run(runs.where("status = 'finished'"), path)
+    tables.append_run(runs.where("status <> 'finished'"), path)
+    good, _ = tables.read_run_log(spark, path)
+    return registry.run_summary(good).select(
+        "run_id", "when", "component", "status", "val_f1_weighted", "test_f1_weighted", "max_depth", "epochs"
+    )
+
+
 @query
 def run_log_roundtrip(spark, sf):
     path = scratch_path(spark, "runs")
@@ -310,6 +369,17 @@ def dq_report(spark, sf):
     return report.select("success", "row_count", F.size("checks").cast("bigint").alias("n_checks"))
 
 
+@query
+def quality_gate(spark, sf):
+    path, stopped = scratch_path(spark, "quality-report"), False
+    try:
+        quality.quality_gate(quality.dq_report(b.shipment_tickets(spark, sf)), path)
+    except quality.QualityError:
+        stopped = True
+    back = quality.read_report(spark, path)
+    return back.select("success", "row_count", F.size("checks").cast("bigint").alias("n_checks"), F.lit(stopped).alias("stopped"))
+
+
 @query
 def split_profile(spark, sf):
     return quality.split_profile(jobs.split_tickets(b.document_tickets(spark, sf)))
@@ -579,8 +649,7 @@ def scale_numeric(spark, sf):
     orders = b.table(spark, sf, "orders").select(
         "o_orderkey", "o_totalprice", F.nullif(F.col("o_custkey"), F.lit(1)).alias("o_custkey"), F.lit(3.0).alias("constant")
     )
-    train = orders.where(F.col("o_totalprice") > 1000)
-    scaled = features.scale_numeric(train, orders, ["o_totalprice", "o_custkey", "constant"])
+    scaled = features.scale_numeric(orders, orders, ["o_totalprice", "o_custkey", "constant"])
     return scaled.select("o_orderkey", *[r6(c).alias(c) for c in ("o_totalprice", "o_custkey", "constant")])
 
 
@@ -656,22 +725,20 @@ def _report(df: DataFrame) -> DataFrame:
 @query
 def train_eval_structured(spark, sf):
     train, _, test = _train_test(spark, sf)
-    return _report(models.evaluate(models.train_classifier(train, "category", _blocks(), max_iter=20), test, "category"))
+    return _report(models.evaluate(models.train_classifier(train, "category", _blocks()), test, "category"))
 
 
 @query
 def train_eval_forest(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks().without_text(), "forest", trees=20, max_depth=5)
+    model = models.train_classifier(train, "category", _blocks().without_text(), "forest")
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def train_eval_boosted(spark, sf):
     train, val, test = _train_test(spark, sf)
-    model = models.train_classifier(
-        train, "category", _blocks().without_text(), "boosted", validation=val, rounds=5, max_depth=3
-    )
+    model = models.train_classifier(train, "category", _blocks().without_text(), "boosted", validation=val)
     return _report(models.evaluate(model, test, "category"))
 
 
@@ -685,37 +752,50 @@ def train_eval_text(spark, sf):
 @query
 def train_eval_full_network(spark, sf):
     train, _, test = _train_test(spark, sf)
-    settings = {**features.CLASSIFIER_TEXT, "max_features": 20_000}
-    model = models.train_full_network(train, "category", _blocks(), 16, 64, max_iter=20, text_settings=settings)
+    model = models.train_full_network(train, "category", _blocks(), 16, 64, max_iter=20)
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def token_probe(spark, sf):
     train, _, _ = _train_test(spark, sf)
-    return models.token_probe(train, "category", TEXT_COLUMNS, max_iter=20)
+    return models.token_probe(train, "category", TEXT_COLUMNS)
 
 
 @query
 def ablation(spark, sf):
     train, val, _ = _train_test(spark, sf)
-    return models.ablation(train, val, "category", _blocks(), max_iter=20)
+    return models.ablation(train, val, "category", _blocks())
 
 
 @query
 def shuffle_sanity(spark, sf):
     train, val, _ = _train_test(spark, sf)
-    return models.shuffle_sanity(train, val, "category", "ticket_id", _blocks(), max_iter=10)
+    return models.shuffle_sanity(train, val, "category", "ticket_id", _blocks())
 
 
 @query
 def batch_score(spark, sf):
     train, val, test = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks(), max_iter=20)
+    model = models.train_classifier(train, "category", _blocks())
     scored = model.score(_together(train, val, test).withColumn("contains_error_code", F.col("error_logs").contains("ERROR_")))
     return models.predictions(scored, model.name).withColumn("confidence", r6("confidence"))
 
 
+@query
+def stored_model_scores(spark, sf):
+    train, val, test = _train_test(spark, sf)
+    model, path = models.train_classifier(train, "category", _blocks()), scratch_path(spark, "model")
+    model.save(spark, path)
+    rows = _together(train, val, test)
+
+    def scored(m, predicted: str, confidence: str) -> DataFrame:
+        return m.score(rows).select("ticket_id", F.col("predicted").alias(predicted), F.col("confidence").alias(confidence))
+
+    both = scored(model, "p", "c").join(scored(models.Classifier.load(spark, path), "q", "d"), "ticket_id")
+    return both.select("ticket_id", (F.col("p").eqNullSafe(F.col("q")) & (F.abs(F.col("c") - F.col("d")) < 1e-9)).alias("same"))
+
+
 # ---- knowledge base ---------------------------------------------------------------------------
 
 
@@ -765,7 +845,7 @@ def retrieval_context(spark, sf):
 @query
 def solve_batch(spark, sf):
     train, val, test = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks(), max_iter=20)
+    model = models.train_classifier(train, "category", _blocks())
     index, vectoriser = _index(spark, sf)
     index = materialize(index, "kb-index")
     ready = _together(train, val, test).withColumns({
@@ -778,6 +858,24 @@ def solve_batch(spark, sf):
     )
 
 
+@query
+def retrieval_envelope(spark, sf):
+    train, val, test = _train_test(spark, sf)
+    model = models.train_classifier(train, "category", _blocks())
+    index, vectoriser = _index(spark, sf)
+    index = materialize(index, "kb-index")
+    asked = _together(train, val, test).withColumn("tags", F.array("product"))
+    answers = jobs.retrieve_with_prediction(model, index, vectoriser, asked)
+    found = F.col("results")
+    return answers.select(
+        "ticket_id", F.col("predicted_category").isin(model.classes).alias("known"),
+        F.col("predicted_confidence").between(1 / len(model.classes), 1 + 1e-9).alias("confident"),
+        F.size(found).cast("bigint").alias("n_results"),
+        (F.array_max(found["rank"]) == F.size(found)).alias("ranked"),
+        F.forall(found["category"], lambda c: c == F.col("predicted_category")).alias("of_category"),
+    )
+
+
 @query
 def extractive_answer(spark, sf):
     index, vectoriser = _index(spark, sf)
@@ -874,7 +972,7 @@ def stream_online_features(spark, sf):
 @query
 def stream_scores(spark, sf):
     train, _, _ = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks().text_only(), max_iter=10)
+    model = models.train_classifier(train, "category", _blocks().text_only())
     docs = b.table(spark, sf, "documents")
     arriving = daily.read_stream(spark, f"{sf}/documents.parq*", docs.schema).select(
         F.col("doc_id").cast("string").alias("ticket_id"), F.substring_index("text", "\n", 1).alias("subject"),

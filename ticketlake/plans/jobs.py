@@ -13,7 +13,7 @@ from ticketlake.operators.features import TfidfModel
 from ticketlake.operators.summary import extractive_summary, summary_source
 from ticketlake.schema import TEXT_COLUMNS
 from ticketlake.session import materialize
-from ticketlake.sources.tables import append_run, ensure_tables, write_json_report
+from ticketlake.sources.tables import append_run, ensure_tables, json_ready, write_json_report
 
 METRIC_TABLES = ["daily_total", "daily_by_category", "daily_sentiment", "retrieval_daily"]
 
@@ -23,15 +23,42 @@ def daily_metrics(tickets: DataFrame) -> dict[str, DataFrame]:
     return metrics.daily_tables(materialize(metrics.daily_base(tickets), "daily-base"))
 
 
-def daily_scan(spark: SparkSession, tickets: DataFrame, root: str, report: str | None = None, **options) -> DataFrame:
-    """Build the four metric tables when missing, then run all detectors and write the report."""
+def daily_scan(spark: SparkSession, tickets: DataFrame, root: str, report: str | None = None, document: str | None = None, **options) -> DataFrame:
+    """Build the four metric tables when missing, then run all detectors; write their rows as ``report`` and the nested
+    report with its settings as ``document``."""
     tables = ensure_tables(spark, root, lambda: daily_metrics(tickets), METRIC_TABLES)
     scan = anomaly.anomaly_scan(tables, **options)
     if report:
         write_json_report(scan, report)
+    if document:
+        write_json_report(scan_report(scan, **options), document)
     return scan
 
 
+REPORT_SCHEMA = (
+    "section string, key string, params struct<window:int,z_threshold:double,failure_threshold:double>, "
+    "points array<struct<date:string,value:double,rolling_mean:double,rolling_std:double,zscore:double,is_anomaly:boolean>>"
+)
+
+
+def scan_report(
+    scan: DataFrame, window: int = anomaly.DEFAULT_WINDOW, z_threshold: float = anomaly.DEFAULT_Z,
+    failure_threshold: float = anomaly.DEFAULT_FAILURE_RATE,
+) -> DataFrame:
+    """The report's documents: one with the settings, and one for each section and series with its days in order.
+
+    A document holds a row for each day of one series, never tickets.
+    """
+    point = F.struct("date", "value", "rolling_mean", "rolling_std", "zscore", "is_anomaly")
+    series = json_ready(scan).groupBy(F.col("scan").alias("section"), "key").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    settings = [("params", None, (window, float(z_threshold), float(failure_threshold)), None)]
+    return scan.sparkSession.createDataFrame(settings, REPORT_SCHEMA).unionByName(series, allowMissingColumns=True)
+
+
+def read_scan_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT_SCHEMA).json(path)
+
+
 def split_tickets(tickets: DataFrame, seed: int = splits.SPLIT_SEED) -> DataFrame:
     """Tickets with fingerprint and leakage-free split."""
     hashed = tickets.withColumn("text_hash", fingerprint(*[F.col(c) for c in TEXT_COLUMNS]))
@@ -63,21 +90,33 @@ def build_features(
     return fitted
 
 
-def training_run(spark: SparkSession, tickets: DataFrame, label: str, run_log: str, blocks: models.FeatureBlocks, kind: str = "logistic", **options):
-    """Split, train, evaluate on validation and test, and append one run record; a failure is recorded too."""
+def training_run(spark: SparkSession, tickets: DataFrame, label: str, run_log: str, blocks: models.FeatureBlocks, kind: str = "logistic", artifacts: str | None = None, **options):
+    """Split, train, evaluate on validation and test, and append one run record; a failure is recorded too.
+
+    With ``artifacts`` the model and both reports are written there, the scores are read back from the reports, and the
+    record names the files.
+    """
     run_id, when = uuid.uuid4().hex, time.strftime("%Y-%m-%dT%H:%M:%S")
     component = f"train_{kind}"
     rows = split_tickets(tickets)
     part = {s: rows.where(F.col("split") == s) for s in splits.SPLITS}
     try:
         model = models.train_classifier(part["train"], label, blocks, kind, part["val"], **options)
-        scores = {
-            f"{s}_f1_weighted": models.weighted_f1(model, part[s], label).first()["f1_weighted"] for s in ("val", "test")
-        }
+        scores, files = {}, {}
+        if artifacts:
+            files["model"] = f"{artifacts}/{run_id}/model"
+            model.save(spark, files["model"])
+        for s in ("val", "test"):
+            measured = models.weighted_f1(model, part[s], label)
+            if artifacts:
+                files[f"{s}_metrics"] = f"{artifacts}/{run_id}/{s}_metrics"
+                write_json_report(measured, files[f"{s}_metrics"])
+                measured = spark.read.schema(measured.schema).json(files[f"{s}_metrics"])
+            scores[f"{s}_f1_weighted"] = measured.first()["f1_weighted"]
     except Exception:
         append_run(registry.run_record(spark, run_id, when, component, "failed", options), run_log)
         raise
-    append_run(registry.run_record(spark, run_id, when, component, "finished", options, scores), run_log)
+    append_run(registry.run_record(spark, run_id, when, component, "finished", options, scores, files), run_log)
     return model
 
 
@@ -104,6 +143,16 @@ def context_of(hits: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.col("blocks.block"), "\n\n").alias("context"))
 
 
+def retrieve_with_prediction(
+    classifier, index: DataFrame, vectoriser: TfidfModel, tickets: DataFrame, k: int = retrieval.DEFAULT_K
+) -> DataFrame:
+    """(ticket_id, predicted_category, predicted_confidence, results): the answer record of a search for each ticket."""
+    scored = classifier.score(tickets)
+    hits = collect_hits(retrieve(index, vectoriser, scored, k))
+    answers = scored.select("ticket_id", F.col("predicted").alias("predicted_category"), F.col("confidence").alias("predicted_confidence"))
+    return answers.join(hits, F.col("ticket_id") == F.col("query_id"), "left").drop("query_id")
+
+
 def solve(classifier, index: DataFrame, vectoriser: TfidfModel, tickets: DataFrame, k: int = retrieval.DEFAULT_K) -> DataFrame:
     """Classify once, retrieve similar solved tickets and phrase the answer, for a whole table of tickets."""
     scored = classifier.score(tickets)

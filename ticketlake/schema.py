@@ -62,12 +62,15 @@ def ticket_schema() -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in FIELD_TYPES.items()])
 
 
-def raw_schema() -> T.StructType:
-    """Reader schema: scalars stay strings so that one bad value cannot spoil its record."""
-    return T.StructType([
-        T.StructField(name, dtype if isinstance(dtype, T.ArrayType) else T.StringType(), True)
-        for name, dtype in FIELD_TYPES.items()
-    ])
+def raw_types() -> dict[str, T.DataType]:
+    """Types before conversion: scalars stay strings so that one bad value cannot spoil its record."""
+    return {name: dtype if isinstance(dtype, T.ArrayType) else T.StringType() for name, dtype in FIELD_TYPES.items()}
+
+
+def delivered_schema(rejected: str) -> T.StructType:
+    """Reader schema: every field as it was delivered, and the text of what is no record."""
+    fields = [T.StructField(name, T.VariantType(), True) for name in FIELD_TYPES]
+    return T.StructType([*fields, T.StructField(rejected, T.StringType(), True)])
 
 
 def _feature_columns() -> list[str]:

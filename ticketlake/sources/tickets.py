@@ -6,28 +6,70 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ticketlake.functions.coerce import seeded_hash
 from ticketlake.functions.text import strip
-from ticketlake.operators.quality import typed
-from ticketlake.schema import raw_schema
+from ticketlake.operators.quality import WRONG_KIND, QualityError, typed, wrong_kinds
+from ticketlake.schema import FIELD_TYPES, delivered_schema, raw_types
 
 
-def read_raw(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
-    """Raw records with string fields. ``layout`` is 'lines' (splittable) or 'array' (one task per file)."""
+REJECTED = "_corrupt_record"
+
+
+def read_records(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
+    """Records as delivered: a variant for each field, and the text of what is no JSON record in ``_corrupt_record``.
+
+    ``layout`` is 'lines' (splittable) or 'array' (one task per file). A broken line spoils itself only, a broken array
+    its file.
+    """
     if layout not in ("lines", "array"):
         raise ValueError("layout must be 'lines' or 'array'")
     return (
-        spark.read.schema(raw_schema())
+        spark.read.schema(delivered_schema(REJECTED))
         .option("multiLine", layout == "array")
         .option("encoding", encoding)
+        .option("columnNameOfCorruptRecord", REJECTED)
         .json(path)
     )
 
 
+def _rejected() -> Column:
+    """The rejected text, else null. No kind is empty: the second part only makes every query read a field, which Spark
+    asks for beside the rejected text."""
+    return F.coalesce(F.col(REJECTED), F.when(F.schema_of_variant("ticket_id") == "", ""))
+
+
+def read_raw(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
+    """Readable records with string fields, and in ``_wrong_kind`` the text and list fields that hold another kind of value."""
+    records = read_records(spark, path, layout, encoding).where(_rejected().isNull())
+    return records.select(
+        *(F.try_variant_get(name, "$", dtype.simpleString()).alias(name) for name, dtype in raw_types().items()),
+        wrong_kinds(FIELD_TYPES).alias(WRONG_KIND),
+    )
+
+
+def read_rejects(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
+    """(ticket_id, record, file): the text of every line, or array file, that is no JSON record, and its id if readable."""
+    records = read_records(spark, path, layout, encoding).where(_rejected().isNotNull())
+    found = F.try_variant_get("ticket_id", "$", "string").alias("ticket_id")
+    return records.select(found, F.col(REJECTED).alias("record"), F.col("_metadata.file_path").alias("file"))
+
+
 def read_tickets(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
+    """Typed tickets: ``created_at`` is a point in time, ``created_wall`` the same as written, for counting by day."""
     return typed(read_raw(spark, path, layout, encoding))
 
 
-def land_tickets(spark: SparkSession, source: str, target: str, layout: str = "array", partitions: int | None = None) -> DataFrame:
-    """Convert JSON to typed Parquet once, so that every later job reads columns in parallel."""
+def land_tickets(
+    spark: SparkSession, source: str, target: str, layout: str = "array", partitions: int | None = None,
+    rejects: str | None = None,
+) -> DataFrame:
+    """Convert JSON to typed Parquet once, so that every later job reads columns in parallel.
+
+    What is no record goes to the table ``rejects``; without one, a rejected record stops the job.
+    """
+    lost = read_rejects(spark, source, layout)
+    if rejects is not None:
+        lost.write.mode("overwrite").parquet(rejects)
+    elif lost.limit(1).collect():
+        raise QualityError(f"{source} holds text that is no record; name a table for rejects")
     tickets = read_tickets(spark, source, layout)
     (tickets.repartition(partitions) if partitions else tickets).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
