@@ -192,6 +192,18 @@ def test_block_max_search_equals_brute_force():
         assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
 
 
+def test_only_copies_of_one_label_leave_the_examples(spark):
+    """Texts that share passages stay examples; a copy under the other label stays too."""
+    rng = np.random.default_rng(8)
+    shared = words(rng, 40)
+    texts = {i: " ".join([*shared, *words(rng, 60, 10**6)]) for i in range(40)}
+    texts |= {100: texts[0] + " end", 101: texts[1] + " end"}
+    labels = [(i, i % 2) for i in range(40)] + [(100, 0), (101, 0)]
+    found = docs_of(spark, texts).join(spark.createDataFrame(labels, "doc_id bigint, y int"), "doc_id").withColumnRenamed("doc_id", "id")
+    rest = toxicity.without_copies(found).collect()
+    assert {r["id"] for r in rest} == set(texts) - {100}
+
+
 @needs_tables
 def test_toxicity_and_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"

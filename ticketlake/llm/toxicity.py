@@ -24,8 +24,9 @@ MAX_EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 4000, 2000, 64, 15
 #: A term of the vocabulary speaks for label 1 beyond chance (log-likelihood ratio, one degree of freedom: a chance of 8e-6)
 #: and strongly (odds ratio).
 LEAST_RATIO, LEAST_ODDS = 20.0, 4.0
-#: Examples that agree in any of so many least shingles are copies: a pair at similarity 0.75 escapes with a chance of 0.4 %.
-COPIES = 4
+#: Examples of one label that agree in any of so many least shingles are compared: a pair at similarity 0.75 escapes with a
+#: chance of 0.4 %. They are copies from this percentage of shared shingles on.
+COPIES, ALIKE = 4, 75
 # Documents in a task that looks for neighbours.
 TASK_ROWS = 20_000
 _SPACES = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
@@ -37,14 +38,46 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def _example_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of each example, and the least of its word shingles under COPIES hash functions."""
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("least", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
+    """Distinct terms of each example, its word shingles, and the least of them under COPIES hash functions."""
+    whole = pa.list_(pa.int64())
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("least", whole), ("shingles", whole), ("terms", pa.list_(pa.string()))])
     for batch in it:
         for part in text_slices(batch):
             sets = words.shingle_sets(*text_buffer(part.column("text")))
             least = [[int(words.mix(s + np.uint64(k)).min().view(np.int64)) if len(s) else k for k in range(1, COPIES + 1)] for s in sets]
             terms = [sorted(t.decode("utf-8") for t in set(terms_of(x.as_py()))) for x in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(least, schema[2].type), pa.array(terms, schema[3].type)], schema=schema)
+            held = [pa.array(c, f.type) for c, f in zip((least, [s.view(np.int64) for s in sets], terms), list(schema)[2:])]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *held], schema=schema)
+
+
+def copies_among(ids: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """The ids whose set of shingles is at least ALIKE percent the same as that of a smaller id. Empty sets are the same."""
+    order = np.argsort(ids, kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order.tolist()]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = []
+    for n in range(len(ids)):
+        fit = (100 * np.minimum(sizes[:n], sizes[n]) >= ALIKE * np.maximum(sizes[:n], sizes[n])) & (ids[:n] < ids[n])
+        for m in np.flatnonzero(fit).tolist():
+            both = len(np.intersect1d(sets[m], sets[n], assume_unique=True))
+            if 100 * both >= ALIKE * (sizes[m] + sizes[n] - both):
+                out.append(int(ids[n]))
+                break
+    return out
+
+
+def _bucket_copies(bucket: pa.Table) -> pa.Table:
+    sets = [np.array(s, np.int64) for s in bucket.column("shingles").to_pylist()]
+    return pa.table({"id": pa.array(copies_among(bucket.column("id").to_numpy(), sets), pa.int64())})
+
+
+def without_copies(examples: DataFrame) -> DataFrame:
+    """id, y and distinct terms of the examples (id, y, text), without those that are near copies of one of their label with a smaller id."""
+    found = examples.select("id", "y", "text").mapInArrow(_example_terms, "id bigint, y int, least array<bigint>, shingles array<bigint>, terms array<string>")
+    found = materialize(found, "toxicity-found")
+    agree = found.select("id", "y", "shingles", F.posexplode("least").alias("k", "value"))
+    copy = agree.groupBy("y", "k", "value").applyInArrow(_bucket_copies, "id bigint").distinct()
+    return found.join(copy, "id", "left_anti").drop("least", "shingles")
 
 
 def _vectors(vocabulary: dict[bytes, int]):
@@ -205,11 +238,7 @@ def score_toxicity(
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * ``examples`` ids: small enough to send to every executor.
     chosen = F.broadcast(materialize(chosen, "toxicity-chosen"))
-    found = source.join(chosen, "id").select("id", "y", "text").mapInArrow(_example_terms, "id bigint, y int, least array<bigint>, terms array<string>")
-    found = materialize(found, "toxicity-found")
-    agree = found.select("id", F.posexplode("least").alias("k", "value"))
-    copy = agree.join(agree.groupBy("k", "value").agg(F.min("id").alias("first")), ["k", "value"]).filter("id > first").select("id").distinct()
-    found = materialize(found.join(copy, "id", "left_anti"), "toxicity-examples")
+    found = materialize(without_copies(source.join(chosen, "id")), "toxicity-examples")
     terms = found.select("y", F.explode("terms").alias("term"))
     chosen = F.broadcast(found.select("id", "y").distinct())
     found = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
