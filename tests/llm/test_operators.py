@@ -192,6 +192,20 @@ def test_block_max_search_equals_brute_force():
         assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
 
 
+def test_clean_examples_are_neighbours_too(spark):
+    """A document without any term that speaks for label 1 is searched as well."""
+    rng = np.random.default_rng(9)
+    texts = {i: " ".join(words(rng, 60) + (["slur"] if i % 2 else [])) for i in range(1, 121)}
+    texts |= {500: texts[2] + " more", 501: "", 502: "zzz yyy"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 121)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs_of(spark, texts), labels).collect()}
+    taught = [i for i in range(1, 121) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {len(got[i]["nearest"]) for i in [*range(1, 121), 500]} == {15}
+    assert all(got[i]["nearest"][0] == i for i in taught) and any(i % 2 == 0 for i in got[500]["nearest"])
+    assert got[501]["nearest"] == got[502]["nearest"] == [] and got[1]["matched"] == ["slur"] and got[500]["matched"] == []
+    assert min(got[i]["score"] for i in range(1, 121, 2)) > max(got[i]["score"] for i in range(2, 121, 2))
+
+
 def test_only_copies_of_one_label_leave_the_examples(spark):
     """Texts that share passages stay examples; a copy under the other label stays too."""
     rng = np.random.default_rng(8)

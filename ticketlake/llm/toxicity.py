@@ -1,12 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, calibrated votes.
 
-The vocabulary is the terms that speak for label 1 beyond chance, counted over examples without their copies, else every
-rare word of a copied document would seem to; document frequencies are counted over all documents. Examples are kept in blocks of an inverted index that also holds the largest weight of a term in each block:
-blocks are visited from the highest possible score down, and the search ends when no block can improve the k nearest.
+The vocabulary is all terms of the examples. A term's weight is its TF-IDF times one plus the log-likelihood ratio of its
+counts in both classes, counted over examples without their copies, so that terms that tell the classes apart decide
+which examples are near; document frequencies are counted over all documents. Examples are kept in blocks of an inverted
+index that also holds the largest weight of a term in each block: blocks are visited from the highest possible score
+down, and the search ends when no block can improve the k nearest.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,16 +22,14 @@ from ticketlake.llm.common import bounded_sample, fold, text_buffer, text_rows,
 from ticketlake.llm.quality import _sigmoid, labelled_ids
 from ticketlake.session import materialize
 
-# Labelled examples of each class, terms of the vocabulary, examples in a block, neighbours that vote.
-MAX_EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 4000, 2000, 64, 15
-#: A term of the vocabulary speaks for label 1 beyond chance (log-likelihood ratio, one degree of freedom: a chance of 8e-6)
+# Labelled examples of each class, examples in a block, neighbours that vote, blocks that a search scores first.
+MAX_EXAMPLES, BLOCK, NEIGHBOURS, FIRST_BLOCKS = 4000, 64, 15, 4
+#: A term that is reported as evidence speaks for label 1 beyond chance (log-likelihood ratio, one degree of freedom: a chance of 8e-6)
 #: and strongly (odds ratio).
 LEAST_RATIO, LEAST_ODDS = 20.0, 4.0
 #: Examples of one label that agree in any of so many least shingles are compared: a pair at similarity 0.75 escapes with a
 #: chance of 0.4 %. They are copies from this percentage of shared shingles on.
 COPIES, ALIKE = 4, 75
-# Documents in a task that looks for neighbours.
-TASK_ROWS = 20_000
 _SPACES = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -76,45 +77,72 @@ def without_copies(examples: DataFrame) -> DataFrame:
     found = examples.select("id", "y", "text").mapInArrow(_example_terms, "id bigint, y int, least array<bigint>, shingles array<bigint>, terms array<string>")
     found = materialize(found, "toxicity-found")
     agree = found.select("id", "y", "shingles", F.posexplode("least").alias("k", "value"))
-    copy = agree.groupBy("y", "k", "value").applyInArrow(_bucket_copies, "id bigint").distinct()
+    # Only examples whose least shingles are shared are sent. There are at most 8 * ``examples`` least shingles.
+    shared = agree.groupBy("y", "k", "value").agg(F.countDistinct("id").alias("n")).filter("n > 1").drop("n")
+    copy = agree.join(F.broadcast(shared), ["y", "k", "value"], "left_semi").groupBy("y", "k", "value").applyInArrow(_bucket_copies, "id bigint").distinct()
     return found.join(copy, "id", "left_anti").drop("least", "shingles")
 
 
+def tally(text: str, vocabulary: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Terms of the vocabulary in the text, ascending, and their counts."""
+    found = Counter(terms_of(text))
+    held = sorted((vocabulary[w], n) for w, n in found.items() if w in vocabulary)
+    return [t for t, _ in held], [n for _, n in held]
+
+
 def _vectors(vocabulary: dict[bytes, int]):
     schema = pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = set(vocabulary)
         for batch in it:
-            terms, counts = [], []
-            for text in batch.column("text"):
-                found = terms_of(text.as_py())
-                hit = wanted.intersection(found)
-                tally: dict[int, int] = {}
-                if hit:
-                    for w in found:
-                        if w in hit:
-                            tally[vocabulary[w]] = tally.get(vocabulary[w], 0) + 1
-                order = sorted(tally)
-                terms.append(order)
-                counts.append([tally[t] for t in order])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(terms, schema[1].type), pa.array(counts, schema[2].type)], schema=schema)
+            both = [tally(text.as_py(), vocabulary) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([b[k] for b in both], schema[1].type) for k in (0, 1))], schema=schema)
 
     return run, "id bigint, terms array<int>, counts array<int>"
 
 
+def _frequencies(vocabulary: dict[bytes, int]):
+    """Documents of a task that hold each term of the vocabulary, and all its documents as term -1."""
+    schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(vocabulary) + 1, np.int64)
+        for batch in it:
+            seen[-1] += len(batch)
+            for text in batch.column("text"):
+                for w in set(terms_of(text.as_py())):
+                    t = vocabulary.get(w)
+                    if t is not None:
+                        seen[t] += 1
+        held = np.flatnonzero(seen)
+        terms = np.where(held == len(vocabulary), -1, held).astype(np.int32)
+        for i in range(0, len(held), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000]), pa.array(seen[held[i : i + 100_000]])], schema=schema)
+
+    return run, "t int, n bigint"
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples. ``rows[t]`` and ``weights[t]`` are the postings of term t by example;
-    ``edges[t]`` cuts them into blocks and ``tops[t]`` holds the largest weight in each block."""
+    """Unit TF-IDF vectors of the examples. Postings (``rows``, ``weights``) lie by term, then example. An entry is the
+    postings of one term in one block: ``entries[t]`` is the first entry of term t, ``places[e]`` the first posting of
+    entry e (both with an end), ``blocks[e]`` its block and ``tops[e]`` its largest weight."""
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    rows: list[np.ndarray]
-    weights: list[np.ndarray]
-    edges: list[np.ndarray]
-    tops: list[np.ndarray]
+    rows: np.ndarray
+    weights: np.ndarray
+    entries: np.ndarray
+    places: np.ndarray
+    blocks: np.ndarray
+    tops: np.ndarray
     block: int
 
     @staticmethod
@@ -123,48 +151,54 @@ class BlockMaxIndex:
         are ordered by their heaviest term."""
         held = []
         for i, y, terms, counts in examples:
-            if terms:
+            if len(terms):
                 w = weigh(idf, terms, counts)
-                held.append((terms[int(w.argmax())], i, y, terms, w))
+                held.append((int(terms[int(w.argmax())]), i, y, np.array(terms, np.int64), w))
         held.sort(key=lambda e: (e[0], e[1]))
-        blocks = -(-len(held) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for row, (_, _, _, terms, w) in enumerate(held):
-            for t, x in zip(terms, w.tolist()):
-                postings[t].append((row, x))
-        rows = [np.array([r for r, _ in p], np.int64) for p in postings]
-        weights = [np.array([x for _, x in p]) for p in postings]
-        edges = [np.searchsorted(r, np.arange(blocks + 1) * block) for r in rows]
-        tops = []
-        for w, e in zip(weights, edges):
-            top = np.zeros(blocks)
-            for b in np.flatnonzero(np.diff(e)):
-                top[b] = w[e[b] : e[b + 1]].max()
-            tops.append(top)
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        terms, weights = joined([e[3] for e in held], np.int64), joined([e[4] for e in held], np.float64)
+        rows = np.repeat(np.arange(len(held)), [len(e[3]) for e in held])
+        order = np.lexsort((rows, terms))
+        terms, rows, weights = terms[order], rows[order], weights[order]
+        key = terms * (len(held) // block + 1) + rows // block
+        places = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         return BlockMaxIndex(
-            idf, np.array([e[1] for e in held], np.int64), np.array([e[2] for e in held], np.int64), rows, weights, edges, tops, block
+            idf, np.array([e[1] for e in held], np.int64), np.array([e[2] for e in held], np.int64), rows, weights,
+            np.searchsorted(terms[places], np.arange(len(idf) + 1)), np.append(places, len(terms)), rows[places] // block,
+            np.maximum.reduceat(weights, places) if len(places) else weights, block,
         )
 
     def nearest(self, terms: list[int], counts: list[int], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, as (cosine, row), by cosine, then row. ``without`` is an id to leave out."""
-        if not terms or not len(self.ids):
+        if not len(terms) or not len(self.ids):
             return []
-        q = weigh(self.idf, terms, counts)
-        bound = np.zeros(len(self.tops[0]))
-        for t, x in zip(terms, q.tolist()):
-            bound += x * self.tops[t]
+        q, t = weigh(self.idf, terms, counts), np.asarray(terms)
+        entries = _ranges(self.entries[t], self.entries[t + 1])
+        q = np.repeat(q, self.entries[t + 1] - self.entries[t])
+        blocks = self.blocks[entries]
+        bound = np.bincount(blocks, q * self.tops[entries], minlength=-(-len(self.ids) // self.block))
+        order = np.lexsort((np.arange(len(bound)), -bound))
         best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bound)), -bound)).tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            some = order[at : at + step]
+            some = some[(bound[some] > 0) & (bound[some] >= least)]
+            if not len(some):
                 break
-            low = b * self.block
-            score = np.zeros(min(self.block, len(self.ids) - low))
-            for t, x in zip(terms, q.tolist()):
-                s, e = self.edges[t][b], self.edges[t][b + 1]
-                if s < e:
-                    score[self.rows[t][s:e] - low] += x * self.weights[t][s:e]
-            found = [(-round(float(score[r]), 12), low + r) for r in np.flatnonzero(score > 0).tolist() if self.ids[low + r] != without]
-            best = sorted(best + found)[:k]
+            wanted = np.zeros(len(bound), bool)
+            wanted[some] = True
+            hit = wanted[blocks]
+            low, high = self.places[entries[hit]], self.places[entries[hit] + 1]
+            p = _ranges(low, high)
+            score = np.bincount(self.rows[p], np.repeat(q[hit], high - low) * self.weights[p], minlength=len(self.ids)).round(12)
+            if without is not None:
+                score[self.ids == without] = 0
+            found = np.flatnonzero(score > 0)
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            best = sorted(best + [(-s, r) for s, r in zip(score[found].tolist(), found.tolist())])[:k]
+            at, step = at + step, 2 * step
         return [(-s, r) for s, r in best]
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
@@ -178,6 +212,17 @@ def weigh(idf: np.ndarray, terms: list[int], counts: list[int]) -> np.ndarray:
     return w / np.sqrt((w * w).sum())
 
 
+def class_ratios(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each term's counts among n1 and n0 examples of both classes, and its odds ratio for label 1."""
+    def part(n: np.ndarray, total: float, share: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(total * share, 1e-9)), 0.0)
+
+    share = (a + b) / max(n1 + n0, 1.0)
+    ratio = 2 * (part(a, n1, share) + part(b, n0, share) + part(n1 - a, n1, 1 - share) + part(n0 - b, n0, 1 - share))
+    odds = (a + 0.5) / (n1 - a + 0.5) * (n0 - b + 0.5) / (b + 0.5)
+    return np.maximum(ratio, 0.0).round(6), odds
+
+
 def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve over the votes, fitted by Newton steps with a weak ridge; the slope is at least 0."""
     a, b = 1.0, 0.0
@@ -194,22 +239,55 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def _score(index: BlockMaxIndex, curve: tuple[float, float], nothing: float, k: int, vocabulary: list[str]):
+@dataclass
+class Examples:
+    """Counted terms of the examples, one after another, and where each example ends: what tasks are sent, a tenth of the
+    index, which they build."""
+
+    idf: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    ends: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def index(self) -> BlockMaxIndex:
+        cuts = self.ends[:-1]
+        return BlockMaxIndex.build(self.idf, list(zip(self.ids.tolist(), self.labels.tolist(), np.split(self.terms, cuts), np.split(self.counts, cuts))))
+
+
+def _votes(examples: Examples, k: int):
+    """The vote on each example by the others; null if it has no neighbours."""
+    schema = pa.schema([("id", pa.int64()), ("vote", pa.float64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = examples.index()
+        for batch in it:
+            columns = [batch.column(n).to_pylist() for n in ("id", "terms", "counts")]
+            near = [index.nearest(t, c, k, without=i) for i, t, c in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([index.vote(n) if n else None for n in near], pa.float64())], schema=schema)
+
+    return run, "id bigint, vote double"
+
+
+def _score(examples: Examples, curve: tuple[float, float], nothing: float, k: int, vocabulary: dict[bytes, int], evidence: dict[int, str]):
     schema = pa.schema([
         ("id", pa.int64()), ("score", pa.float64()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
         ("matched", pa.list_(pa.string())),
     ])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = examples.index()
         for batch in it:
             seen: dict[tuple, tuple] = {}
             out = []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
+            for text in batch.column("text"):
+                terms, counts = tally(text.as_py(), vocabulary)
                 key = (*terms, -1, *counts)
                 if key not in seen:
                     near = index.nearest(terms, counts, k)
                     score = float(_sigmoid(curve[0] * (index.vote(near) - 0.5) + curve[1])) if near else nothing
-                    seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [vocabulary[t] for t in terms])
+                    seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [evidence[t] for t in terms if t in evidence])
                 out.append(seen[key])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
@@ -218,14 +296,15 @@ def _score(index: BlockMaxIndex, curve: tuple[float, float], nothing: float, k:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", parts: int = 3, held: int = 1,
-    examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS,
+    examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS,
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted, nearest (ids of the neighbours), cosines, matched (terms).
 
     Learns from at most ``examples`` labelled rows of each class outside the held-out part, those with the smallest
-    hashes of their ids (of copies among them one), and at most ``max_terms`` terms. Votes are calibrated on the examples, each without itself,
-    weighted back to the class sizes. A document without any term of the vocabulary has no neighbours and gets the
-    share of label 1 among such examples. Null or empty texts are such documents. Rows that repeat an id are scored
+    hashes of their ids (of copies among them one), and from all their terms. Votes are calibrated on the examples, each
+    without itself, weighted back to the class sizes. ``matched`` are the terms of the document that speak for label 1.
+    A document that shares no term with any example has no neighbours and gets the share of label 1 among such examples,
+    or among all if there are none. Null or empty texts are such documents. Rows that repeat an id are scored
     each by its own text; a row without id is never held out. Without labels of both classes no term separates them and
     every score is the smoothed rate (0.5 without labels). Other columns are ignored; an empty table gives an empty result.
     """
@@ -243,40 +322,39 @@ def score_toxicity(
     chosen = F.broadcast(found.select("id", "y").distinct())
     found = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(found.get(1, 0)), float(found.get(0, 0))
-    counted = terms.groupBy("term").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    part = lambda n, total, share: F.when(n > 0, n * F.log(n / (F.lit(total) * share))).otherwise(0.0)
-    share = (F.col("a") + F.col("b")) / (n1 + n0 + 1e-9)
-    ratio = 2 * (
-        part(F.col("a"), n1, share) + part(F.col("b"), n0, share)
-        + part(F.greatest(n1 - F.col("a"), F.lit(0)), n1, 1 - share) + part(F.greatest(n0 - F.col("b"), F.lit(0)), n0, 1 - share)
-    )
-    half = lambda n, total: (n + 0.5) / (F.greatest(F.lit(total) - n, F.lit(0)) + 0.5)
-    strength = F.log(half(F.col("a"), n1) / half(F.col("b"), n0))
-    best = counted.withColumn("ratio", F.round(ratio, 6)).filter((F.col("ratio") >= LEAST_RATIO) & (strength >= float(np.log(LEAST_ODDS)))).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    vocabulary = [r["term"] for r in best.collect()] if n1 and n0 else []
-    run, schema = _vectors({w.encode(): i for i, w in enumerate(vocabulary)})
-    vectors = materialize(source.mapInArrow(run, schema), "toxicity-vectors")
-    total = vectors.count()
-    seen = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        seen[r["t"]] = r["count"]
-    idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
-    sample = [(r["id"], r["y"], list(r["terms"]), list(r["counts"])) for r in vectors.join(chosen, "id").collect()]
-    index = BlockMaxIndex.build(idf, sorted(sample))
+    counted = terms.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).orderBy("term").toArrow() if n1 and n0 else None
+    vocabulary = counted.column("term").to_pylist() if counted else []
+    a, n = (counted.column(c).to_numpy().astype(np.float64) for c in ("a", "n")) if counted else (np.zeros(0), np.zeros(0))
+    ratio, odds = class_ratios(a, n - a, n1, n0)
+    evidence = {t: vocabulary[t] for t in np.flatnonzero((ratio >= LEAST_RATIO) & (odds >= LEAST_ODDS)).tolist()}
+    places = {w.encode(): i for i, w in enumerate(vocabulary)}
+    run, schema = _frequencies(places)
+    counted = source.mapInArrow(run, schema).groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    which, number = counted.column("t").to_numpy(), counted.column("n").to_numpy()
+    total, seen = int(number[which < 0].sum()), np.zeros(len(vocabulary))
+    seen[which[which >= 0]] = number[which >= 0]
+    idf = (np.log((1.0 + total) / (1.0 + seen)) + 1.0) * (1.0 + ratio)
+    run, schema = _vectors(places)
+    taught = materialize(source.join(chosen.select("id"), "id").mapInArrow(run, schema).join(chosen, "id"), "toxicity-taught")
+    columns = taught.toArrow()
+    sample = [(i, y, t.values.to_numpy(), c.values.to_numpy()) for i, y, t, c in zip(
+        columns["id"].to_pylist(), columns["y"].to_pylist(), columns["terms"], columns["counts"]
+    )]
+    sample.sort(key=lambda e: (e[0], e[1], e[2].tolist(), e[3].tolist()))
+    joined = lambda k: np.concatenate([np.zeros(0, np.int32), *(e[k] for e in sample)])
+    ids, label = (np.array([e[k] for e in sample], np.int64) for k in (0, 1))
+    taught_by = Examples(idf, ids, label, np.cumsum([len(e[2]) for e in sample]), joined(2), joined(3))
     taken = {y: max(1, sum(s[1] == y for s in sample)) for y in (0, 1)}
     weight = {y: sizes.get(y, 0) / taken[y] for y in (0, 1)}
-    votes = []
-    for i, y, t, c in sample:
-        near = index.nearest(t, c, k, without=i)
-        if near:
-            votes.append((index.vote(near), y, weight[y]))
-    bare = [(y, weight[y]) for _, y, t, _ in sample if not t]
+    run, schema = _votes(taught_by, k)
+    label_of = {i: y for i, y, *_ in sample}
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    votes = sorted((r["vote"], label_of[r["id"]], weight[label_of[r["id"]]]) for r in taught.repartition(tasks).mapInArrow(run, schema).collect() if r["vote"] is not None)
+    bare = [(y, weight[y]) for _, y, t, _ in sample if not len(t)] or [(y, weight[y]) for _, y, *_ in sample]
     nothing = (sum(w for y, w in bare if y) + 0.5) / (sum(w for _, w in bare) + 1.0)
     curve = calibrate(*(np.array(c, np.float64) for c in zip(*votes))) if votes else (0.0, float(np.log(nothing / (1 - nothing))))
-    run, schema = _score(index, curve, nothing, k, vocabulary)
-    # Vectors are far smaller than their texts, but not the work on them: they are dealt out by their number.
-    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
-    return vectors.repartition(tasks).mapInArrow(run, schema).select(
+    run, schema = _score(taught_by, curve, nothing, k, places, evidence)
+    return source.mapInArrow(run, schema).select(
         F.col("id").alias(id_col), F.coalesce(fold("id", parts) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest", "cosines", "matched",
     )
