@@ -214,8 +214,8 @@ _SPAN_TYPE = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
 def find_spans(texts: list[str], net: Network) -> list[list[tuple[str, int, int, float]]]:
-    """All findings of each text, in order: base ones, and candidates that the network takes for secrets and that meet no
-    base finding. The score is the network's, also for base findings that are candidates, else 1."""
+    """All findings of each text, in order: base ones, and candidates that the network takes for secrets and that base
+    findings don't cover wholly. The score is the network's, also for base findings that meet candidates, else 1."""
     found, rows, places = [], [], []
     for n, text in enumerate(texts):
         base = base_spans(text)
@@ -228,11 +228,20 @@ def find_spans(texts: list[str], net: Network) -> list[list[tuple[str, int, int,
         over = [s for s in found[n] if s[0] != "learned" and s[1] < b and a < s[2]]
         for s in over:
             s[3] = float(score)
-        if not over and score >= net.threshold:
+        if score >= net.threshold and not covered(a, b, over):
             found[n].append(["learned", a, b, float(score)])
     return [sorted((tuple(s) for s in spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for spans in found]
 
 
+def covered(start: int, end: int, spans: list) -> bool:
+    """Whether the spans (kind, start, end, ...) together hold everything from ``start`` to ``end``."""
+    for _, a, b, *_ in sorted(spans, key=lambda s: s[1]):
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def _run(net: Network):
     schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(_SPAN))])
 
