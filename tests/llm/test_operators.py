@@ -390,6 +390,20 @@ def test_candidates_that_base_findings_cover_in_part_are_found():
     assert sum(t[a:b] not in c and not any(t[i : i + 16] in c for i in range(a, b - 15)) for (t, a, b, _), c in zip(made, clean)) > 0.95 * len(made)
 
 
+def test_candidates_are_read_whole():
+    net = secret_scan.trained()
+    assert secret_scan.candidates("key AbCdEfGhIjKlMnOpQrStUvWx end") == [(4, 28)]
+    key = "ghp_x9K2mQ7vR4tZ1bN8cL5wY3pJ6hD0sF2gT7aV"
+    long = "/ver/the/ing/ment/er/tion/sch/lich/" + key + "/ver/the/ing/ment/er/tion/sch/lich/do.html"
+    seen = secret_scan.views(0, len(long))
+    assert seen[0][0] == 0 and seen[-1][1] == len(long) and all(y[0] <= x[1] - 36 for x, y in zip(seen, seen[1:]))
+    assert ("learned", 5, 5 + len(long)) in [s[:3] for s in secret_scan.find_spans([f"path {long} end"], net)[0]]
+    made = secret_scan.labelled_findings()
+    held = [m for m in made[len(made) * 2 // 3 :] if m[3]]
+    scores = net.score(np.stack([secret_scan.encode(t, a, b) for t, a, b, _ in held]))
+    assert (scores >= net.threshold).mean() >= 0.98 and net.threshold in scores
+
+
 def test_redaction_keeps_documents(spark):
     docs = spark.createDataFrame([(i, t, "x", None) for i, t in enumerate([*SECRETS, None])], "doc_id bigint, text string, id string, n_chars bigint")
     got = {r["doc_id"]: r for r in secret_scan.redact_secrets(docs).collect()}

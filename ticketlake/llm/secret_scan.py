@@ -22,9 +22,11 @@ KINDS = ("assign", "access", "hex", "learned")
 #: Words that a base assignment begins with, as they are looked for in lower case.
 _STARTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: A candidate: a run of these characters of at least this length that holds a digit.
+#: A candidate: a run of these characters of at least this length.
 CANDIDATE = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 INSIDE, LEFT, RIGHT = 48, 24, 8
+# Characters between the views of a candidate that is longer than one: a part of 36 characters lies whole in some view.
+STRIDE = 12
 WIDTH = LEFT + INSIDE + RIGHT
 FILTERS, KERNEL, HIDDEN = 24, 5, 16
 # Made labelled findings that the network is trained on, and the share of true ones that the threshold must keep.
@@ -32,7 +34,6 @@ FINDINGS, RECALL = 3000, 0.98
 
 _HEXES = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 _RUN = bytes(120 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-" else 32 for c in range(256))
-_NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,9 +56,16 @@ def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     data = text.encode("utf-8", "replace")
-    if not data.translate(None, _NOT_DIGITS) or b"x" * 16 not in data.translate(_RUN):
+    if b"x" * 16 not in data.translate(_RUN):
         return []
-    return [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group())]
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+def views(start: int, end: int) -> list[tuple[int, int]]:
+    """Parts of a candidate that the network reads: all of it, or INSIDE characters from every STRIDE-th on, to its end."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in [*range(start, end - INSIDE, STRIDE), end - INSIDE]]
 
 
 def _classes() -> np.ndarray:
@@ -178,7 +186,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
 @functools.cache
 def trained(findings: int = FINDINGS, recall: float = RECALL, seed: int = 5) -> Network:
     """Trains on two thirds of the made findings; on the last third the output is calibrated and the threshold is the
-    highest that keeps ``recall`` of the secrets, but not under 0.5."""
+    highest that keeps ``recall`` of the secrets."""
     made = labelled_findings(findings)
     x = np.stack([encode(t, a, b) for t, a, b, _ in made])
     y = np.array([s for *_, s in made], np.float64)
@@ -205,7 +213,7 @@ def trained(findings: int = FINDINGS, recall: float = RECALL, seed: int = 5) ->
         slope, shift = slope - float(np.clip(move[0], -1, 1)), shift - float(np.clip(move[1], -1, 1))
     net.slope, net.shift = slope, shift
     scores = np.sort(net.score(x[cut:])[truth == 1])
-    net.threshold = max(0.5, float(scores[int(np.floor((1 - recall) * len(scores)))]))
+    net.threshold = float(scores[int(np.floor((1 - recall) * len(scores)))])
     return net
 
 
@@ -221,10 +229,12 @@ def find_spans(texts: list[str], net: Network) -> list[list[tuple[str, int, int,
         base = base_spans(text)
         found.append([[kind, a, b, 1.0] for a, b, kind in base])
         for a, b in candidates(text):
-            rows.append(encode(text, a, b))
-            places.append((n, a, b))
+            places.append((n, a, b, len(rows)))
+            rows += [encode(text, *view) for view in views(a, b)]
     scores = np.concatenate([net.score(np.stack(rows[i : i + 256])) for i in range(0, len(rows), 256)]) if rows else []
-    for (n, a, b), score in zip(places, scores):
+    # A candidate has the highest score of its views.
+    highest = np.maximum.reduceat(scores, [first for *_, first in places]) if places else []
+    for (n, a, b, _), score in zip(places, highest):
         over = [s for s in found[n] if s[0] != "learned" and s[1] < b and a < s[2]]
         for s in over:
             s[3] = float(score)
