@@ -107,6 +107,19 @@ def test_html_extraction(spark):
     assert got[4]["text"].startswith("just words") and got[4]["n_chars"] == len(got[4]["text"])
 
 
+def test_html_head_and_foreign_elements_do_not_swallow_text():
+    """A head that is not closed, self-closed icons, icons with self-closed parts, and formulas."""
+    shown = lambda html: " ".join("".join(t if not b else f" {t}" for _, t, b in html_text.parse(html).chunks).split())
+    body = "<article><p>Some words of the text, enough to be an article.</p><p>And some more of it.</p></article>"
+    want = "Some words of the text, enough to be an article. And some more of it."
+    for start in ("<head><title>No</title><body>", "<html><head><meta charset=x><script>no</script>", "<head><link rel=x><noscript>no</noscript>", "<head><title>No</title></head>"):
+        assert shown(start + body) == want
+    assert shown("<head><title>No</title>words at once") == "words at once"
+    assert html_text.trained().text("<html><head><title>No</title><body>" + body) == want
+    assert shown('<p>one <svg class="i"/> two <svg><path d="M0 0"/><title>no</title></svg>three</p><p>four</p>') == "one two three four"
+    assert shown("<p>so <math/>that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == "so that x=2 holds"
+
+
 def test_html_marginals_equal_enumeration():
     model = html_text.trained()
     page = html_text.parse("<body><nav><a>x</a></nav><article><p>some words here</p><div class=ad>buy</div></article></body>")

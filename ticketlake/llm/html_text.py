@@ -25,14 +25,18 @@ from ticketlake.llm.common import batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup "
-    "time tt u var".split()
+    "time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-HIDDEN = frozenset("head script style title noscript template svg math select button iframe object textarea canvas audio video datalist option".split())
+HIDDEN = frozenset("head script style title noscript template svg annotation annotation-xml select button iframe object textarea canvas audio video datalist option".split())
 RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr main menu nav ol p pre section summary table ul".split()
 )
+#: Elements that a head may hold, whether open or not: any other one ends it. Elements that "/>" closes, as all inside them.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
 #: Elements that an element of the same group ends, up to the container that holds the group.
 SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
@@ -93,6 +97,9 @@ def parse(html: str) -> Page:
             text = match.group()
             if text.startswith("<!") or text.startswith("<?") or text.startswith("</"):
                 continue
+            if len(stack) > 1 and stack[-1][0] == "head" and text.strip():
+                hidden -= 1
+                stack.pop()
             if hidden:
                 continue
             if "&" in text:
@@ -122,6 +129,14 @@ def parse(html: str) -> Page:
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        attributes = match.group(3) or match.group(6) or ""
+        if len(stack) > 1 and stack[-1][0] == "head" and name not in IN_HEAD:
+            hidden -= 1
+            stack.pop()
+            breaks = True
+        if attributes.endswith("/") and (name in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+            breaks = breaks or name not in INLINE and name not in FOREIGN
+            continue
         close = None
         if name in ENDS_P:
             close = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), None)
@@ -138,7 +153,6 @@ def parse(html: str) -> Page:
                 anchors -= t == "a"
             del stack[close:]
             breaks = True
-        attributes = match.group(3) or match.group(6) or ""
         if name in VOID:
             breaks = breaks or name in ("br", "hr", "img")
             continue
