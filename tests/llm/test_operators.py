@@ -351,6 +351,20 @@ def test_decontamination_catches_other_parameters(spark):
     assert sorted(r["doc_id"] for r in rest.collect()) == [3, 4, 5, 6, 7, 8, 9]
 
 
+def test_decontamination_judges_windows_not_alignments(spark):
+    """Units in the plural, two values that become equal, one altered value in a long copy."""
+    hours = "A pump needs 1 hour to fill the old tank and the other pump needs 3 hours to empty it again."
+    apples = "She puts 3 apples in the left basket and 4 apples in the right basket of the old car."
+    long = "A lorry with 40 boxes leaves the old harbour at noon and drives along the coast road to the next town, where two men unload it and count 40 boxes before they sign the list and drive home."
+    bench = spark.createDataFrame([(1, hours), (2, apples), (3, long)], "item_id bigint, text string")
+    texts = {
+        1: hours.replace("1 hour", "2 hours"), 2: apples.replace("3", "5").replace("4", "5"), 3: long.replace("count 40", "count 41"),
+        5: hours,
+    }
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (5, 1)]
+
+
 @needs_tables
 def test_decontamination_equals_word_windows(spark):
     """Items of the tables hold no numbers or names: plain windows of five words must find the same documents."""

@@ -1,8 +1,8 @@
 """Benchmark decontamination: items found in documents by windows of canonical words, with consistent slots.
 
 Numbers, units after numbers and names become typed placeholders, so a question with other numbers or names has the
-same template. Windows of template words are joined by hash; the values in the slots of a passage must stand for the
-values of the item one to one.
+same template. Windows of template words are joined by hash; a window counts if its values are those that most places of
+the passage show for the item's values.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ UNITS = frozenset(
     "litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
     "year years c f k degree degrees percent dollar dollars cent cents euro euros mph kmh w kw v a hz".split()
 )
+#: Units in the plural or another spelling, and how their slots are written.
+ONE_UNIT = {u: u[:-1] for u in UNITS if u[-1] == "s" and u[:-1] in UNITS} | {
+    "feet": "foot", "inches": "inch", "litre": "liter", "litres": "liter", "euros": "euro",
+}
 #: Words that are numbers.
 NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
@@ -125,8 +129,12 @@ def _find(size: int, wanted: bytes | None):
                             where, values, widths = np.append(where, a), np.append(values, one), np.append(widths, b - a)
                 if not len(where):
                     continue
+                def value(at: int) -> str:
+                    word = low[first[at] : end[at]].tobytes().decode("utf-8", "replace")
+                    return KINDS[kind[at]] + (ONE_UNIT.get(word, word) if kind[at] == UNIT else word)
+
                 slots = [
-                    [f"{k}{KINDS[kind[w + k]]}{low[first[w + k] : end[w + k]].tobytes().decode('utf-8', 'replace')}" for k in np.flatnonzero(kind[w : w + n]).tolist()]
+                    [f"{k}{value(w + k)}" for k in np.flatnonzero(kind[w : w + n]).tolist()]
                     for w, n in zip(where.tolist(), widths.tolist())
                 ]
                 yield pa.RecordBatch.from_arrays([
@@ -144,8 +152,9 @@ def contaminated(
     """One row per document and benchmark item that it contains: id, item_id, item_windows, found_windows, slots.
 
     A document contains an item if at least ``percent`` of the item's distinct template windows occur in passages of
-    the document whose slots are consistent: within one alignment (same distance between places) every value of the
-    item stands for one value of the document and the other way round. ``slots`` counts the item's slot values that
+    the document with agreeing slots: within one alignment (same distance between places) a value of the item stands for
+    the value that most of its places show (the same value at a tie, else none), and only windows with other values
+    don't count. Two values of the item may stand for one of the document. ``slots`` counts the item's slot values that
     were matched. The benchmark's windows are looked for in passes of at most ``pass_windows`` hashes, so what a task
     holds is bounded however large the benchmark is; all documents are read whole in each pass.
 
@@ -171,18 +180,29 @@ def contaminated(
         hits = source.filter("false").mapInArrow(_find(size, np.zeros(1, np.uint64).tobytes()), _COLUMNS)
     hits = materialize(hits, "benchmark-hits")
     met = hits.join(items, "hash").withColumn("shift", F.col("place") - F.col("item_place"))
-    value = F.explode_outer(F.arrays_zip(F.col("slots").alias("theirs"), F.col("item_slots").alias("ours"))).alias("slot")
     # A slot is written as position, kind and value: the kind and value are what must agree.
+    slot = F.explode_outer(F.arrays_zip(F.col("slots").alias("theirs"), F.col("item_slots").alias("ours"))).alias("slot")
     bare = lambda c: F.regexp_replace(c, r"^\d+", "")
-    slots = met.select("id", "item", "shift", value).select("id", "item", "shift", bare("slot.theirs").alias("theirs"), bare("slot.ours").alias("ours"))
-    judged = slots.groupBy("id", "item", "shift").agg(
-        F.countDistinct("theirs", "ours").alias("both"), F.countDistinct("theirs").alias("n_theirs"), F.countDistinct("ours").alias("n_ours"),
+    passage = ["id", "item", "shift"]
+    pairs = met.select(*passage, "hash", "item_place", "slots", slot).select(
+        *passage, "hash", "item_place", "slots", bare("slot.theirs").alias("theirs"), bare("slot.ours").alias("ours"),
+        (F.col("item_place") + F.regexp_extract("slot.ours", r"^\d+", 0).try_cast("bigint")).alias("at"),
     )
-    consistent = judged.filter("both = n_theirs and both = n_ours").select("id", "item", "shift", F.col("both").alias("slots"))
+    # Places that show a value, doubled; the item's own value wins a tie.
+    shown = pairs.filter("ours is not null").groupBy(*passage, "ours", "theirs").agg(F.countDistinct("at").alias("n"))
+    shown = shown.withColumn("weight", 2 * F.col("n") + (F.col("ours") == F.col("theirs")).cast("int"))
+    agreed = shown.groupBy(*passage, "ours").agg(
+        F.max_by("theirs", "weight").alias("agreed"), F.sort_array(F.collect_list("weight"), False).alias("weights")
+    ).filter("size(weights) = 1 or weights[0] > weights[1]").drop("weights")
+    same = F.col("ours").isNull() | F.coalesce(F.col("theirs") == F.col("agreed"), F.lit(False))
+    judged = pairs.join(agreed, [*passage, "ours"], "left").groupBy(*passage, "hash", "item_place", "slots").agg(
+        F.min(same).alias("good"), F.collect_set("ours").alias("ours")
+    ).filter("good")
     per_item = items.groupBy("item").agg(F.countDistinct("hash").alias("item_windows"))
-    covered = met.select("id", "item", "shift", "hash").join(consistent, ["id", "item", "shift"]).groupBy("id", "item").agg(
-        F.countDistinct("hash").alias("found_windows"), F.max("slots").alias("slots")
-    )
+    counted = judged.select(*passage, F.explode("ours").alias("ours")).groupBy(*passage).agg(F.countDistinct("ours").alias("n"))
+    counted = counted.groupBy("id", "item").agg(F.max("n").alias("slots"))
+    covered = judged.groupBy("id", "item").agg(F.countDistinct("hash").alias("found_windows"))
+    covered = covered.join(counted, ["id", "item"], "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("bigint")))
     return covered.join(per_item, "item").filter(F.col("found_windows") * 100 >= F.col("item_windows") * percent).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "item_windows", "found_windows", "slots"
     )
