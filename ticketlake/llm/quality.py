@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,27 +20,58 @@ STATISTICS = (
 )
 
 
+def _counts(text: Column, words: Column) -> dict[str, Column]:
+    """What the statistics are computed from, of a text and its words."""
+    return {
+        "chars": F.length(text), "n": F.size(words), "distinct": F.size(F.array_distinct(words)),
+        "upper": F.regexp_count(text, F.lit(r"[A-ZÀ-ÖØ-Þ]")), "symbols": F.regexp_count(text, F.lit(r"[#$%&*!<>{}@~^=\[\]]")),
+        "bars": F.regexp_count(text, F.lit(r"\|")), "digits": F.regexp_count(text, F.lit("[0-9]")),
+        "stops": F.regexp_count(text, F.lit("[.,]")), "lines": F.regexp_count(text, F.lit(r"\n")) + 1,
+    }
+
+
+def _ratios(count: Callable[[str], Column]) -> dict[str, Column]:
+    """The statistics, by name, from the counts that ``count`` gives."""
+    chars, n = F.greatest(count("chars"), F.lit(1)), F.greatest(count("n"), F.lit(1))
+    values = {
+        "n_words": count("n"), "word_length": count("chars") / n, "distinct_share": count("distinct") / n,
+        "distinct_root": count("distinct") / F.sqrt(n), "upper_share": count("upper") / chars,
+        "symbol_share": count("symbols") / chars, "bar_share": count("bars") / n, "digit_share": count("digits") / chars,
+        "stop_share": count("stops") / n, "line_words": count("n") / count("lines"),
+    }
+    return {k: c.cast("double") for k, c in values.items()}
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_") -> DataFrame:
     """``docs`` with one column for each statistic, named with ``prefix``, by JVM functions only. All are 0 for a null or empty text."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     p = prefix
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    df = docs.withColumns({f"{p}chars": F.length(text), f"{p}list": words}).withColumns({
-        f"{p}n": F.size(f"{p}list"), f"{p}distinct": F.size(F.array_distinct(f"{p}list")),
-        f"{p}upper": F.regexp_count(text, F.lit(r"[A-ZÀ-ÖØ-Þ]")),
-        f"{p}symbols": F.regexp_count(text, F.lit(r"[#$%&*!<>{}@~^=\[\]]")), f"{p}bars": F.regexp_count(text, F.lit(r"\|")),
-        f"{p}digits": F.regexp_count(text, F.lit("[0-9]")), f"{p}stops": F.regexp_count(text, F.lit("[.,]")),
-        f"{p}lines": F.regexp_count(text, F.lit(r"\n")) + 1,
-    }).drop(f"{p}list")
-    chars, n = F.greatest(f"{p}chars", F.lit(1)), F.greatest(f"{p}n", F.lit(1))
-    values = {
-        "n_words": F.col(f"{p}n"), "word_length": F.col(f"{p}chars") / n, "distinct_share": F.col(f"{p}distinct") / n,
-        "distinct_root": F.col(f"{p}distinct") / F.sqrt(n), "upper_share": F.col(f"{p}upper") / chars,
-        "symbol_share": F.col(f"{p}symbols") / chars, "bar_share": F.col(f"{p}bars") / n, "digit_share": F.col(f"{p}digits") / chars,
-        "stop_share": F.col(f"{p}stops") / n, "line_words": F.col(f"{p}n") / F.col(f"{p}lines"),
-    }
-    df = df.withColumns({p + k: c.cast("double") for k, c in values.items()})
-    return df.drop(*(p + k for k in ("chars", "n", "distinct", "upper", "symbols", "bars", "digits", "stops", "lines")))
+    df = docs.withColumn(f"{p}list", _words(_text(text_col)))
+    counts = _counts(_text(text_col), F.col(f"{p}list"))
+    df = df.withColumns({p + k: c for k, c in counts.items()}).drop(f"{p}list")
+    df = df.withColumns({p + k: c for k, c in _ratios(lambda k: F.col(p + k)).items()})
+    return df.drop(*(p + k for k in counts))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def statistics(text_col: str = "text") -> Column:
+    """The statistics of ``with_statistics`` as one struct, without helper columns."""
+    def ratios(counts: Column) -> Column:
+        return F.struct(*(c.alias(k) for k, c in _ratios(lambda k: counts[k]).items()))
+
+    text = _text(text_col)
+    return bound(bound(_words(text), lambda w: F.struct(*(c.alias(k) for k, c in _counts(text, w).items()))), ratios)
 
 
 Condition = tuple[int, bool, float]  # statistic, above (or at most), limit
@@ -53,13 +85,13 @@ class RuleModel:
     weights: list[float]
     intercept: float
 
-    def score(self, prefix: str = "_") -> Column:
-        """Probability of label 1 as a column expression over the statistics."""
+    def score(self, statistic: Callable[[str], Column] = lambda name: F.col("_" + name)) -> Column:
+        """Probability of label 1 as a column expression over the statistics that ``statistic`` gives by name."""
         total = F.lit(float(self.intercept))
         for rule, weight in zip(self.rules, self.weights):
             held = F.lit(True)
             for k, above, limit in rule:
-                column = F.col(prefix + STATISTICS[k])
+                column = statistic(STATISTICS[k])
                 held = held & ((column > limit) if above else (column <= limit))
             total = total + F.when(held, float(weight)).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-total))
@@ -210,10 +242,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, parts: int = 4, held: int = 2, limit: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``least``. Same cases as ``score_quality``."""
-    columns = docs.columns
+    """The rows of ``docs``, all columns, that score at least ``least``. Same cases as ``score_quality``.
+
+    The rules are fitted on the written statistics of the labelled rows. The filter is one expression that computes a text's
+    statistics once; it adds no columns, so names in ``docs`` cannot clash with it.
+    """
     known = materialize(bounded_sample(labelled_ids(labels, "quality", parts, held), "id", limit), "quality-labelled")
     # At most ``limit`` ids: small enough to send to every executor, so that no text is shuffled for the fit.
-    sample = docs.join(F.broadcast(known.select(F.col("id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi")
-    model = fit_quality(with_statistics(sample.select(id_col, text_col), text_col, "_q_"), labels, id_col, prefix="_q_", parts=parts, held=held, limit=limit)
-    return with_statistics(docs, text_col, "_q_").filter(model.score("_q_") >= least).select(*(f"`{c}`" for c in columns))
+    sample = docs.select(F.col(f"`{id_col}`").alias(id_col), statistics(text_col).alias("_s")).join(
+        F.broadcast(known.select(F.col("id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi"
+    )
+    fitted = materialize(sample.select(id_col, *(F.col(f"_s.{s}").alias("_" + s) for s in STATISTICS)), "quality-sample")
+    model = fit_quality(fitted, labels, id_col, parts=parts, held=held, limit=limit)
+    return docs.filter(bound(statistics(text_col), lambda s: model.score(lambda name: s[name])) >= least)

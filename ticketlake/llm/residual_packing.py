@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import math
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,47 +17,133 @@ from pyspark.sql import DataFrame, functions as F
 from ticketlake.llm.common import batches, text_rows, text_slices
 from ticketlake.session import materialize
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Partition number times this, plus a counter, is the number of a sequence.
 STRIDE = 1 << 36
-# How the vocabulary cuts lower-case ASCII text into pieces that are encoded one by one.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
-_KEPT_PIECES, _KEPT_LENGTH = 400_000, 64
+_STOPS = ".,;:!?"
+_KEPT, _KEPT_LENGTH = 300_000, 64
+
+
+class LetterMerges:
+    """The merges of a byte-pair vocabulary with word ends, applied to many words of a-z at once.
+
+    Of a word's neighbouring symbols the pair of lowest rank is merged, the first of equals, until no pair is a merge.
+    """
+
+    LONGEST = 16
+
+    def __init__(self, model: dict, suffix: str) -> None:
+        ids = model["vocab"]
+        self.inner = np.array([ids[chr(c)] for c in range(97, 123)], np.int32)
+        self.last = np.array([ids[chr(c) + suffix] for c in range(97, 123)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([ids[a] << 16 | ids[b] for a, b in pairs], np.int64)
+        self.merged = np.array([ids[a + b] for a, b in pairs] + [0], np.int32)
+        self.none = len(pairs)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.slot_keys = np.full(1 << 20, -1, np.int64)
+        self.slot_ranks = np.full(1 << 20, self.none, np.int32)
+        at = self._slot(self.keys)
+        self.slot_keys[at], self.slot_ranks[at] = self.keys, self.ranks
+        self.crowded = np.zeros(1 << 20, bool)  # slots of several keys: only there the sorted keys are searched
+        self.crowded[at[self.slot_keys[at] != self.keys]] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 >> 12) & ((1 << 20) - 1)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 16 | b
+        at = self._slot(key)
+        out = np.where(self.slot_keys[at] == key, self.slot_ranks[at], self.none)
+        doubt = np.nonzero(self.crowded[at])
+        if len(doubt[0]):
+            k = key[doubt]
+            place = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            out[doubt] = np.where(self.keys[place] == k, self.ranks[place], self.none)
+        return out
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """Ids of words of 1 to ``LONGEST`` letters a-z."""
+        if not words:
+            return []
+        width = self.LONGEST
+        sizes = np.array([len(w) for w in words])
+        letters = np.frombuffer("".join(w.ljust(width, "a") for w in words).encode(), np.uint8).reshape(-1, width) - 97
+        columns = np.arange(width)
+        symbols = np.where(columns == sizes[:, None] - 1, self.last[letters], self.inner[letters])
+        ranks = np.full((len(words), width), self.none, np.int32)
+        ranks[:, :-1] = self._rank(symbols[:, :-1], symbols[:, 1:])
+        ranks[columns >= sizes[:, None] - 1] = self.none
+        done, left, rows = symbols.copy(), sizes.copy(), np.arange(len(words))
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < self.none
+            done[rows[~going]] = symbols[~going]
+            if not going.any():
+                break
+            rows, symbols, ranks, at, best = rows[going], symbols[going], ranks[going], at[going], best[going]
+            left[rows] -= 1
+            n, i = left[rows], np.arange(len(rows))
+            # The columns behind the pair move up by one.
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            symbols, ranks = np.take_along_axis(symbols, source, 1), np.take_along_axis(ranks, source, 1)
+            symbols[i, at] = self.merged[best]
+            after = np.minimum(at + 1, width - 1)
+            ranks[i, at] = np.where(at + 1 < n, self._rank(symbols[i, at], symbols[i, after]), self.none)
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = self._rank(symbols[before, at[before] - 1], symbols[before, at[before]])
+        raw, step = done.astype("<u4").tobytes(), 4 * width
+        return [raw[i * step : i * step + 4 * n] for i, n in enumerate(left.tolist())]
 
 
 class WordEncoder:
     """Token ids of a vocabulary that drops white space and lowers case, as ``tokenizers`` gives them.
 
-    Nothing crosses a space, so the ids of a text are those of its words one after another: words are encoded once and
-    kept, up to ``_KEPT_PIECES``. Texts with a special token's string are encoded whole.
+    Nothing crosses a space, so the ids of a text are those of its words one after another, and stops behind a letter are
+    a token run of their own. Words are encoded once, without such stops, and kept; if there are more than ``_KEPT``, those
+    of the texts at hand. Words of a few letters a-z are merged together, others go through ``tokenizers``; texts with a
+    special token's string do so whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.letters = LetterMerges(model, model["end_of_word_suffix"])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        plain = {p: p.lower() for p in pieces if len(p) <= LetterMerges.LONGEST and p.isascii() and p.isalpha()}
+        others = [p for p in pieces if p not in plain]
+        return dict(zip(plain, self.letters.codes(list(plain.values())))) | dict(zip(others, self._encoded(others)))
 
-    def ids(self, texts: Iterable[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                cut.append(_ASCII_PIECES.findall(text.lower()) if text.isascii() else text.split(" "))
-        if len(self.kept) > _KEPT_PIECES:
-            self.kept.clear()
-        missing = list(set().union(*(c for c in cut if c is not None)) - self.kept.keys())
-        known, rare = self.kept, {}
-        for piece, code in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            (known if len(piece) <= _KEPT_LENGTH else rare)[piece] = array("I", code.ids).tobytes()
-        find = known.__getitem__ if not rare else lambda p: known[p] if p in known else rare[p]
-        return [self._whole(t) if c is None else b"".join(map(find, c)) for t, c in zip(texts, cut)]
+        cut: list[list[str] | None] = [
+            None if any(s in text for s in self.special) else text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts
+        ]
+        words = list(set().union(*(c for c in cut if c is not None)))
+        cores = [w.rstrip(_STOPS) for w in words]
+        # A Latin letter before the stops: other characters may form one run with them.
+        cores = [c if c and c[-1].isalpha() and c[-1] < "\u0100" else w for c, w in zip(cores, words)]
+        stops = [w[len(c) :] for c, w in zip(cores, words)]
+        needed = set(cores) | set(stops)
+        new = self._learn([p for p in needed if p not in self.kept])
+        if len(self.kept) + len(new) > _KEPT:
+            self.kept = {p: self.kept[p] for p in needed if p in self.kept}
+        self.kept |= {p: c for p, c in new.items() if len(p) <= _KEPT_LENGTH}
+        kept, long = self.kept, {p: c for p, c in new.items() if len(p) > _KEPT_LENGTH}
+        code = kept.__getitem__ if not long else lambda p: long[p] if p in long else kept[p]
+        whole = {w: code(c) + code(s) if s else code(c) for w, c, s in zip(words, cores, stops)}
+        return [self._encoded([t])[0] if c is None else b"".join(map(whole.__getitem__, c)) for t, c in zip(texts, cut)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -134,9 +221,11 @@ def _local(path: str, size: int, slack: int, end_id: int):
                 number += at == number
                 yield *p, at, place, None
 
+        gc.disable()  # the many small strings of a chunk hold no cycles, and looking for some takes a fifth of the time
         for batch in it:
             for part in text_slices(batch, CHUNK_BYTES):
                 yield from batches(_PIECES, chunk(part))
+        gc.enable()
         yield from batches(_PIECES, ((None, None, None, None, None, n, None, fill) for n, fill in bins.underfull()))
 
     return run
@@ -160,14 +249,14 @@ def _merge(size: int, slack: int):
 
 
 def merge_underfull(underfull: DataFrame, size: int, slack: int = 0, group_items: int = 50_000) -> DataFrame:
-    """(bin, into, shift): where the sequences (bin, fill) end, after rounds of best fit among themselves.
+    """(bin, into, shift) of the sequences (bin, fill) that end inside others, after rounds of best fit among themselves.
 
     A round deals the sequences to groups of about ``group_items`` by the hash of their number, and packs each group in
     one task. What is then nearly full, or has less room than the least of all, leaves; the rest is the next, smaller
     round, until one group holds it or a round merges less than one in a thousand. Each round is written, so the next
     one and a lost executor read the same numbers.
     """
-    moves = underfull.select("bin", F.col("bin").alias("into"), F.lit(0).cast("bigint").alias("shift"))
+    moves = underfull.limit(0).select("bin", F.col("bin").alias("into"), F.lit(0).cast("bigint").alias("shift"))
     rest = underfull
     while True:
         n, least = rest.agg(F.count("*"), F.min("fill")).first()
@@ -180,12 +269,11 @@ def merge_underfull(underfull: DataFrame, size: int, slack: int = 0, group_items
             dealt.groupBy("part").applyInPandas(_merge(size, slack), "bin bigint, into bigint, shift bigint, fill bigint"), "packing-round"
         )
         merged = step.filter("bin <> into").select(F.col("bin").alias("_bin"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
-        moves = materialize(
-            moves.join(merged, F.col("into") == F.col("_bin"), "left").select(
-                "bin", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")
-            ),
-            "packing-moves",
+        # What moved before goes on with the sequence that it is in; only moved sequences are listed.
+        earlier = moves.join(merged, F.col("into") == F.col("_bin"), "left").select(
+            "bin", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")
         )
+        moves = materialize(earlier.unionByName(step.filter("bin <> into").select("bin", "into", "shift")), "packing-moves")
         rest = step.filter("fill is not null").select("bin", "fill")
         if groups == 1 or rest.count() > 0.999 * n:
             return moves
@@ -218,7 +306,7 @@ def pack_best_fit(
         text_rows(docs, id_col, text_col).mapInArrow(_local(path or public_path(), size, slack, end_id), _PIECES_SQL), "packing-pieces"
     )
     underfull = packed.filter("fill is not null").select("bin", "fill")
-    moves = merge_underfull(underfull, size, slack, group_items).filter("bin <> into").withColumnRenamed("bin", "_bin")
+    moves = merge_underfull(underfull, size, slack, group_items).withColumnRenamed("bin", "_bin")
     return packed.filter("fill is null").join(moves, F.col("bin") == F.col("_bin"), "left").select(
         "doc_id", "piece", "start", "length", "ids", F.coalesce("into", "bin").alias("sequence_id"),
         (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"),
