@@ -145,7 +145,7 @@ def sketch(paths: DataFrame, max_cells: int = MAX_CELLS) -> tuple[np.ndarray, in
     shuffle, but what is proved stays true.
     """
     deep = paths.filter("depth > 0").select("digest")
-    cells = 1 << max(16, min((8 * deep.count()).bit_length(), max_cells.bit_length() - 1))
+    cells = 1 << min(max(16, (8 * deep.count()).bit_length()), max_cells.bit_length() - 1)
     sent = deep.mapInArrow(lambda it: _cells(it, cells), "line int, part int, once binary, more binary")
     counted = sent.repartition("line", "part").sortWithinPartitions("line", "part").mapInArrow(
         lambda it: _count(it, cells), "line int, part int, bits binary"

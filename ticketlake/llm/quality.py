@@ -249,9 +249,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     known = materialize(bounded_sample(labelled_ids(labels, "quality", parts, held), "id", limit), "quality-labelled")
     # At most ``limit`` ids: small enough to send to every executor, so that no text is shuffled for the fit.
-    sample = docs.select(F.col(f"`{id_col}`").alias(id_col), statistics(text_col).alias("_s")).join(
+    wanted = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).join(
         F.broadcast(known.select(F.col("id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi"
     )
-    fitted = materialize(sample.select(id_col, *(F.col(f"_s.{s}").alias("_" + s) for s in STATISTICS)), "quality-sample")
+    sample = materialize(wanted.select(id_col, statistics("_text").alias("_s")), "quality-sample")
+    fitted = sample.select(id_col, *(F.col(f"_s.{s}").alias("_" + s) for s in STATISTICS))
     model = fit_quality(fitted, labels, id_col, parts=parts, held=held, limit=limit)
     return docs.filter(bound(statistics(text_col), lambda s: model.score(lambda name: s[name])) >= least)
