@@ -341,6 +341,9 @@ S["daily_total"] = f"WITH {ORDERS} SELECT {DAY}, count(*) AS count FROM order_ti
 S["daily_by_category"] = f"WITH {EVENTS} SELECT {DAY}, category, count(*) AS count FROM event_tickets GROUP BY 1, 2"
 S["stream_daily_counts"] = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS created_date, event_type AS category, count(*) AS count FROM events GROUP BY 1, 2"""
+S["stream_closing_days"] = """
+SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS created_date, event_type AS category,
+  count(*) AS count FROM events GROUP BY 1, 2"""
 S["daily_sentiment"] = f"WITH {EVENTS} SELECT {DAY}, sentiment_norm, count(*) AS count FROM event_tickets GROUP BY 1, 2"
 S["retrieval_daily"] = f"""WITH {EVENTS}
 SELECT {DAY}, count(*) AS total, CAST(sum(success) AS BIGINT) AS success, CAST(count(*) - sum(success) AS BIGINT) AS failure,

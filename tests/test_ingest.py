@@ -41,10 +41,12 @@ def test_rejected_lines(spark, tmp_path):
     assert landed.count() == 3 and spark.read.parquet(str(tmp_path / "rejects")).count() == 2
 
 
-def test_broken_array_is_rejected_whole(spark, tmp_path):
+def test_broken_record_of_an_array_spoils_itself_only(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(RECORDS)[:-30])
-    assert tickets.read_tickets(spark, str(tmp_path / "a.json"), "array").count() == 0
-    assert tickets.read_rejects(spark, str(tmp_path / "a.json"), "array").count() == 1
+    read = tickets.read_tickets(spark, str(tmp_path / "a.json"), "array")
+    assert [r["ticket_id"] for r in read.orderBy("ticket_id").collect()] == sorted(r["ticket_id"] for r in RECORDS[:-1])
+    rejects = tickets.read_rejects(spark, str(tmp_path / "a.json"), "array").collect()
+    assert len(rejects) == 1 and rejects[0]["file"].endswith("a.json")
 
 
 def test_kinds_of_text_and_lists(spark, tmp_path):

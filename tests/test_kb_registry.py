@@ -17,15 +17,17 @@ def vectors(spark, rows, id_col):
     return spark.createDataFrame(rows, f"{id_col} string, category string, idx array<int>, val array<double>")
 
 
-@pytest.mark.parametrize("cell_docs,cell_queries", [(20_000, 2_048), (7, 3)])
-def test_topk_matches_brute_force(spark, cell_docs, cell_queries):
+@pytest.mark.parametrize("cell_docs,cell_queries,list_share", [(20_000, 2_048, 1e9), (7, 3, 1e9), (7, 3, -1e9), (20_000, 2_048, -1e9)])
+def test_topk_matches_brute_force(spark, monkeypatch, cell_docs, cell_queries, list_share):
+    """By inverted lists from the first posting on, and by scanning cells."""
+    monkeypatch.setattr(retrieval, "_FIRST_POSTINGS", 1)
     rng = random.Random(1)
     docs = [(f"d{i}", "hot" if i % 3 else f"c{i % 4}", *unit(rng, 12)) for i in range(120)]
     docs += [("empty", "hot", [], [])]
     queries = [(f"q{i}", rng.choice(["hot", "c0", "absent", ""]), *unit(rng, 14)) for i in range(25)]
     queries += [("nothing", "hot", [], [])]
     got = retrieval.retrieve_topk(
-        vectors(spark, docs, "doc_id"), vectors(spark, queries, "query_id"), 5, cell_docs, cell_queries
+        vectors(spark, docs, "doc_id"), vectors(spark, queries, "query_id"), 5, cell_docs, cell_queries, list_share=list_share
     ).collect()
     known = {d[1] for d in docs}
     for qid, category, idx, val in queries:

@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ticketlake.functions import text
-from ticketlake.operators import features, ranking, splits
+from ticketlake.operators import features, projection, ranking, splits
 
 
 def hashed(spark, n=400, copies=3):
@@ -160,11 +160,11 @@ def test_svd_matches_numpy(spark):
     matrix = rng.random((30, 8)) * (rng.random((30, 8)) > 0.4)
     rows = [(i, Vectors.sparse(8, [(j, float(x)) for j, x in enumerate(r) if x])) for i, r in enumerate(matrix)]
     df = spark.createDataFrame(rows, ["id", "v"])
-    svd = features.fit_svd(df, "v", 3)
+    svd = projection.fit_svd(df, "v", 3)
     assert svd.singular_values == pytest.approx(np.linalg.svd(matrix, compute_uv=False)[:3], rel=1e-6)
-    idx, val = features.vector_parts("v")
+    idx, val = projection.vector_parts("v")
     dense = svd.transform(df.withColumns({"idx": idx, "val": val})).orderBy("id").collect()
-    assert np.allclose([r["dense"] for r in dense], matrix @ svd.components)
+    assert np.allclose([r["dense"] for r in dense], matrix @ svd.panel(slice(0, 3)))
 
 
 def test_center_scale(spark):

@@ -1,16 +1,13 @@
 """TF-IDF, one-hot, scaling, label codes and dense projections."""
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ticketlake.functions.text import tokens, with_bigrams
 from ticketlake.session import materialize
@@ -149,11 +146,17 @@ def postings(vectors: DataFrame, model: TfidfModel, id_col: str) -> DataFrame:
 
 
 def to_sparse_vector(size: int):
-    """Column function that packs positions and weights into one ML vector."""
+    """Column function that packs positions and weights into one ML vector, without leaving the JVM.
 
-    @F.udf(VectorUDT())
-    def pack(idx, val):
-        return SparseVector(size, idx, val)
+    A vector is stored as a struct, and Spark's JSON reader takes a struct for a column whose type is the vector. Doubles
+    are written so that they read back equal.
+    """
+    schema = StructType([StructField("v", VectorUDT())])
+
+    def pack(idx: Column | str, val: Column | str) -> Column:
+        idx, val = (F.col(c) if isinstance(c, str) else c for c in (idx, val))
+        stored = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), idx.alias("indices"), val.alias("values"))
+        return F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"]
 
     return pack
 
@@ -232,64 +235,12 @@ class CenterScaleModel:
 
 
 def fit_center_scale(train: DataFrame, values: str) -> CenterScaleModel:
-    """Per-position statistics by one partial aggregation keyed by position."""
-    stats = (
-        train.select(F.posexplode(F.col(values).cast("array<double>")).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-        .orderBy("pos")
-        .collect()  # one row per vector position
-    )
-    return CenterScaleModel([r["mean"] for r in stats], [r["std"] or 1.0 for r in stats])
-
-
-@dataclass(frozen=True)
-class SvdModel:
-    """Right singular vectors of the training matrix, bounded by max_features x k."""
-
-    components: np.ndarray
-    singular_values: list[float]
-
-    def transform(self, df: DataFrame, out: str = "dense") -> DataFrame:
-        """Project (idx, val) rows to k dense dimensions."""
-        components = df.sparkSession.sparkContext.broadcast(self.components)
-
-        @F.pandas_udf("array<double>")
-        def project(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            v = components.value
-            for idx, val in rows:
-                yield pd.Series([
-                    np.asarray(w, dtype="float64") @ v[np.asarray(i, dtype="int64")] for i, w in zip(idx, val)
-                ])
-
-        return df.withColumn(out, project("idx", "val"))
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        rows = pd.DataFrame({"position": range(len(self.components)), "row": list(self.components)})
-        spark.createDataFrame(rows, "position bigint, row array<double>").write.mode("overwrite").parquet(f"{path}/components")
-        values = list(enumerate(self.singular_values))
-        spark.createDataFrame(values, "position bigint, value double").write.mode("overwrite").parquet(f"{path}/values")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "SvdModel":
-        rows = spark.read.parquet(f"{path}/components").toPandas().sort_values("position")
-        values = spark.read.parquet(f"{path}/values").orderBy("position").collect()  # one row per component
-        return SvdModel(np.stack(rows["row"].to_list()), [r["value"] for r in values])
-
-
-def vector_parts(vector: str) -> tuple[Column, Column]:
-    """Positions and values of an ML vector column, sparse or dense."""
-    v = F.unwrap_udt(vector)
-    dense_positions = F.sequence(F.lit(0), F.size(v["values"]) - 1)
-    return F.when(v["type"] == 1, dense_positions).otherwise(v["indices"]), v["values"]
-
-
-def fit_svd(train: DataFrame, vector: str, k: int) -> SvdModel:
-    """Truncated SVD of the vector rows, without centring."""
-    rows = MLUtils.convertVectorColumnsFromML(train.select(vector), vector).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        matrix = RowMatrix(rows)
-        svd = matrix.computeSVD(min(k, matrix.numCols()), computeU=False)
-    finally:
-        rows.unpersist()
-    return SvdModel(np.asarray(svd.V.toArray()), [float(x) for x in svd.s.toArray()])
+    """Per-position statistics by one partial aggregation of whole vectors."""
+    vector = array_to_vector(F.col(values).cast("array<double>"))
+    found = train.where(F.col(values).isNotNull()).agg(Summarizer.metrics("mean", "std", "count").summary(vector).alias("s")).first()["s"]
+    if found is None or not found["count"]:
+        return CenterScaleModel([], [])
+    # The summary divides by n - 1.
+    population = ((found["count"] - 1) / found["count"]) ** 0.5
+    std = [float(x) * population for x in found["std"].toArray()]
+    return CenterScaleModel([float(x) for x in found["mean"].toArray()], [x or 1.0 for x in std])

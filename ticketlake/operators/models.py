@@ -25,15 +25,13 @@ from ticketlake.operators.features import (
     NETWORK_TEXT,
     UNKNOWN,
     CenterScaleModel,
-    SvdModel,
     TfidfModel,
     fit_center_scale,
-    fit_svd,
     fit_tfidf,
     scale_divisors,
-    vector_parts,
 )
 from ticketlake.operators.metrics import with_class_weight
+from ticketlake.operators.projection import SvdModel, fit_svd, vector_parts
 from ticketlake.operators.splits import shuffle_labels
 from ticketlake.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TEXT_COLUMNS
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ticketlake.functions import coerce, tags, text
 from ticketlake.operators import (
-    anomaly, evaluation, features, graph, metrics, models, quality, registry, retrieval, splits, summary,
+    anomaly, evaluation, features, graph, metrics, models, projection, quality, registry, retrieval, splits, summary,
 )
 from ticketlake.plans import bindings as b, jobs
 from ticketlake.schema import TEXT_COLUMNS, complete_nullable, complete_typed
@@ -191,6 +191,7 @@ def run_log_append(spark, sf):
     runs = b.run_records(spark, sf)
     tables.append_run(runs.where("status = 'finished'"), path)
     tables.append_run(runs.where("status <> 'finished'"), path)
+    tables.append_run(runs, path)  # a job that is run again
     good, _ = tables.read_run_log(spark, path)
     return registry.run_summary(good).select(
         "run_id", "when", "component", "status", "val_f1_weighted", "test_f1_weighted", "max_depth", "epochs"
@@ -696,7 +697,7 @@ def _together(*parts: DataFrame) -> DataFrame:
 def assembled_features(spark, sf):
     train, val_rows, test = _train_test(spark, sf)
     fitted = models.fit_features(train, _blocks())
-    idx, val = features.vector_parts("features")
+    idx, val = projection.vector_parts("features")
     return fitted.transform(_together(train, val_rows, test)).select(
         "ticket_id", F.size(idx).cast("bigint").alias("n_set"), r6(F.aggregate(val, F.lit(0.0), lambda a, x: a + x)).alias("total")
     )
@@ -707,8 +708,8 @@ def svd_project(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
     model = features.fit_tfidf(docs, "text", **features.KNOWLEDGE_BASE_TEXT)
     vectors = model.transform_vector(docs, "text", "v").drop("text")
-    svd = features.fit_svd(vectors, "v", 16)
-    idx, val = features.vector_parts("v")
+    svd = projection.fit_svd(vectors, "v", models.TEXT_DIMENSIONS)
+    idx, val = projection.vector_parts("v")
     dense = svd.transform(vectors.withColumns({"idx": idx, "val": val}))
     return dense.select("doc_id", F.posexplode("dense").alias("component", "x")).select(
         "doc_id", F.col("component").cast("bigint").alias("component"), r6("x").alias("x")
@@ -745,14 +746,14 @@ def train_eval_boosted(spark, sf):
 @query
 def train_eval_text(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_text_network(train, "category", TEXT_COLUMNS, svd_dim=16, hidden=64, max_iter=20)
+    model = models.train_text_network(train, "category", TEXT_COLUMNS)
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def train_eval_full_network(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_full_network(train, "category", _blocks(), 16, 64, max_iter=20)
+    model = models.train_full_network(train, "category", _blocks())
     return _report(models.evaluate(model, test, "category"))
 
 
@@ -837,7 +838,6 @@ def retrieve_topk(spark, sf):
 @query
 def retrieval_context(spark, sf):
     index, model = _index(spark, sf)
-    index = materialize(index, "kb-index")
     hits = retrieval.hit_records(retrieval.retrieve_topk(index, _vector_queries(spark, sf, model), k=3), index)
     return jobs.context_of(hits)
 
@@ -847,7 +847,6 @@ def solve_batch(spark, sf):
     train, val, test = _train_test(spark, sf)
     model = models.train_classifier(train, "category", _blocks())
     index, vectoriser = _index(spark, sf)
-    index = materialize(index, "kb-index")
     ready = _together(train, val, test).withColumns({
         "tags": F.array("product"), "contains_error_code": F.col("error_logs").contains("ERROR_"),
     })
@@ -863,7 +862,6 @@ def retrieval_envelope(spark, sf):
     train, val, test = _train_test(spark, sf)
     model = models.train_classifier(train, "category", _blocks())
     index, vectoriser = _index(spark, sf)
-    index = materialize(index, "kb-index")
     asked = _together(train, val, test).withColumn("tags", F.array("product"))
     answers = jobs.retrieve_with_prediction(model, index, vectoriser, asked)
     found = F.col("results")
@@ -879,7 +877,6 @@ def retrieval_envelope(spark, sf):
 @query
 def extractive_answer(spark, sf):
     index, vectoriser = _index(spark, sf)
-    index = materialize(index, "kb-index")
     asked = b.document_tickets(spark, sf).withColumn("predicted", F.col("category"))
     hits = jobs.retrieve(index, vectoriser, asked, k=3)
     return jobs.synthesize(asked, hits)
@@ -960,6 +957,26 @@ def stream_daily_counts(spark, sf):
     return daily.current_counts(spark, table).select(*as_text("created_date"), "category", "count")
 
 
+@query
+def stream_closing_days(spark, sf):
+    """Counts of days that close, and the late events, over several batches: together they are all events."""
+    source, table, late = scratch_path(spark, "stream-events"), scratch_path(spark, "stream-closing"), scratch_path(spark, "stream-late")
+    events = b.table(spark, sf, "events")
+    # Every seventh event arrives without its time, every fifth in the last file.
+    number = F.col("event_id").cast("bigint")
+    sent = F.when(number % 5 == 0, 3).otherwise(F.floor(F.pmod(F.dayofyear("ts"), F.lit(30)) / 10)).cast("int")
+    unread = F.when(number % 7 == 0, F.lit("unknown")).otherwise(F.col("ts").cast("string"))
+    rows = events.select(unread.alias("created_at"), F.col("event_type").alias("category"), sent.alias("sent"))
+    for n in range(4):
+        rows.where(F.col("sent") == n).drop("sent").write.parquet(f"{source}/part{n}")
+    arriving = daily.read_stream(spark, f"{source}/*", T.StructType.fromDDL("created_at string, category string"), files_per_batch=2)
+    daily.start_closing(arriving, table, late, scratch_path(spark, "stream-closing-state"), "1 day").awaitTermination()
+    counted = daily.closing_counts(spark, table).select("created_date", "category", "count")
+    lost = daily.daily_counts(spark.read.schema("created_at string, category string").parquet(f"{late}/batch=*"))
+    both = counted.unionByName(lost).groupBy("created_date", "category").agg(F.sum("count").alias("count"))
+    return both.select(*as_text("created_date"), "category", "count")
+
+
 @query
 def stream_online_features(spark, sf):
     arriving = b.as_event_tickets(_event_stream(spark, sf))

@@ -16,13 +16,18 @@ RUN_SCHEMA = (
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a table to read. Any other trouble, as a lack of permission, is an error and not a missing table."""
+    """Whether there is a table to read: no if the path is absent or holds no files. Any other trouble, as a lack of permission
+    or files that are no table, is an error and not a missing table, so nothing is built over what is there."""
     try:
         spark.read.parquet(path).schema
         return True
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return False
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            if files.select("path").limit(1).isEmpty():
+                return False
         raise
 
 
@@ -73,15 +78,19 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 
 def append_run(record: DataFrame, path: str) -> None:
-    record.write.mode("append").json(path)
+    """Add runs to a log. What is appended together is a folder named after its runs, which a retried job writes again."""
+    named = F.coalesce(*(F.col(c) for c in ("run_id", "id") if c in record.columns), F.lit(""))
+    number = record.agg(F.coalesce(F.bit_xor(F.xxhash64(named)), F.lit(0)).alias("x")).first()["x"]
+    record.write.mode("overwrite").json(f"{path}/append={number & (1 << 64) - 1:016x}")
 
 
 def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, malformed lines). Blank lines are ignored; a malformed line does not spoil its neighbours."""
-    text = spark.read.text(path).where(F.trim("value") != "")
+    """(runs, malformed lines). Blank lines are ignored; a malformed line does not spoil its neighbours, and a run that was
+    logged twice in the same words is one."""
+    text = spark.read.option("recursiveFileLookup", True).text(path).where(F.trim("value") != "")
     parsed = text.select(
         "value",
         F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"),
     )
-    runs = parsed.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
+    runs = parsed.where("r._corrupt_record IS NULL").dropDuplicates(["value"]).select("r.*").drop("_corrupt_record")
     return runs, parsed.where("r._corrupt_record IS NOT NULL").select("value")

@@ -8,26 +8,33 @@ from ticketlake.functions.coerce import seeded_hash
 from ticketlake.functions.text import strip
 from ticketlake.operators.quality import WRONG_KIND, QualityError, typed, wrong_kinds
 from ticketlake.schema import FIELD_TYPES, delivered_schema, raw_types
+from ticketlake.sources.arrays import array_records
 
 
-REJECTED = "_corrupt_record"
+REJECTED, FILE = "_corrupt_record", "_file"
 
 
 def read_records(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
     """Records as delivered: a variant for each field, and the text of what is no JSON record in ``_corrupt_record``.
 
-    ``layout`` is 'lines' (splittable) or 'array' (one task per file). A broken line spoils itself only, a broken array
-    its file.
+    ``layout`` is 'lines' or 'array'; both are read by ranges of a file, and a broken record spoils itself only (see
+    ``array_records``). An array in another encoding than UTF-8 is one task, and a broken one rejected whole. ``file``
+    names where a record comes from.
     """
     if layout not in ("lines", "array"):
         raise ValueError("layout must be 'lines' or 'array'")
-    return (
+    if layout == "array" and encoding.upper() == "UTF-8":
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED}
+        read = array_records(spark, path).select("file", F.from_json("record", delivered_schema(REJECTED), options).alias("r"))
+        return read.select("r.*", F.col("file").alias(FILE))
+    rows = (
         spark.read.schema(delivered_schema(REJECTED))
         .option("multiLine", layout == "array")
         .option("encoding", encoding)
         .option("columnNameOfCorruptRecord", REJECTED)
         .json(path)
     )
+    return rows.select("*", F.col("_metadata.file_path").alias(FILE))
 
 
 def _rejected() -> Column:
@@ -49,7 +56,7 @@ def read_rejects(spark: SparkSession, path: str, layout: str = "lines", encoding
     """(ticket_id, record, file): the text of every line, or array file, that is no JSON record, and its id if readable."""
     records = read_records(spark, path, layout, encoding).where(_rejected().isNotNull())
     found = F.try_variant_get("ticket_id", "$", "string").alias("ticket_id")
-    return records.select(found, F.col(REJECTED).alias("record"), F.col("_metadata.file_path").alias("file"))
+    return records.select(found, F.col(REJECTED).alias("record"), F.col(FILE).alias("file"))
 
 
 def read_tickets(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
