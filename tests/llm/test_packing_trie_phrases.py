@@ -249,3 +249,39 @@ def test_queries_give_the_contract_columns(spark):
     nodes = QUERIES["op12_prefix_trie"](spark, SF)
     assert {t for c, t in nodes.dtypes if c != "ends_sha256"} == {"bigint"} and nodes.filter("depth = 0").count() == 1
     assert [t for _, t in QUERIES["op13_collocations"](spark, SF).dtypes] == ["string", "bigint", "string"] + ["bigint"] * 5
+
+
+# ---- licence expressions and nested pages -----------------------------------------------------
+
+
+@pytest.mark.parametrize("text,labels,permissive", [
+    ("see LICENSE file", None, None), ("MIT and more text", {"mit"}, True), ("GPL-2.0 WITH Linux-syscall-note", {"gpl"}, False),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}, True), ("MIT OR Foo-1.0", None, None), ("MIT with thanks", {"mit"}, True),
+    ("(MIT and more", None, None), ("LicenseRef-Own. */", {"licenseref-own"}, False), ("Mitigation", None, None), ("MIT WITH", None, None),
+    ("(MIT OR GPL-3.0) AND 0BSD", {"mit", "gpl", "bsd"}, True),
+])
+def test_expressions_beside_free_text(text, labels, permissive):
+    from ticketlake.llm import licences
+
+    rpn = licences.parse_expression(text)
+    assert (rpn and licences.evaluate(rpn)) == (labels and (labels, permissive))
+
+
+def test_deeply_nested_pages_are_linear():
+    import time
+
+    from ticketlake.llm import html_text
+
+    for page in ("<div>" * 40_000, "<div><p>x</b>" * 40_000, "<li>" * 40_000 + "</p>" * 40_000, "<svg>" * 40_000 + "<g/>" * 40_000):
+        begin = time.process_time()
+        html_text.parse(page)
+        assert time.process_time() - begin < 5
+
+
+def test_quality_stage_with_clashing_columns(spark):
+    from ticketlake.llm import quality
+
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3)], "doc_id bigint, text string, _known int, _q_n int, _s int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    kept = quality.keep_quality(docs, labels, least=0.0)
+    assert kept.columns == docs.columns and kept.count() == 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -82,11 +83,55 @@ class Page:
     chunks: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements, outermost first, and where those of each name and kind are: no question walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("root", 0)]  # name, and the block node that the element writes to
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.hidden = self.anchors = self.foreign = 0
+
+    def push(self, name: str, node: int) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.hidden += name in HIDDEN
+        self.anchors += name == "a"
+        self.foreign += name in FOREIGN
+        self.stack.append((name, node))
+
+    def last(self, name: str) -> int:
+        """Place of the innermost element of a name; 0 if there is none."""
+        places = self.at.get(name)
+        return places[-1] if places else 0
+
+    def outermost(self, name: str, behind: int) -> int | None:
+        """Place of the outermost element of a name that is inside the one at ``behind``."""
+        places = self.at.get(name, [])
+        k = bisect_right(places, behind)
+        return places[k] if k < len(places) else None
+
+    def close(self, k: int) -> bool:
+        """Closes the element at k and all inside it; whether one of them is a block."""
+        block = False
+        while len(self.stack) > k:
+            name, _ = self.stack.pop()
+            self.at[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+                block = True
+            self.hidden -= name in HIDDEN
+            self.anchors -= name == "a"
+            self.foreign -= name in FOREIGN
+        return block
+
+
 def parse(html: str) -> Page:
     """The block tree of a page. Markup that is not closed, or closed twice, is mended as browsers do."""
     page = Page()
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements and the block node each one writes to
-    hidden = anchors = 0
+    tree = _Open()
+    stack = tree.stack
     breaks = True
     at, end = 0, len(html)
     while at < end:
@@ -98,9 +143,8 @@ def parse(html: str) -> Page:
             if text.startswith("<!") or text.startswith("<?") or text.startswith("</"):
                 continue
             if len(stack) > 1 and stack[-1][0] == "head" and text.strip():
-                hidden -= 1
-                stack.pop()
-            if hidden:
+                tree.close(len(stack) - 1)
+            if tree.hidden:
                 continue
             if "&" in text:
                 text = unescape(text)
@@ -109,49 +153,34 @@ def parse(html: str) -> Page:
             breaks = False
             n = len(text) - text.count(" ")
             page.size[node] += n
-            if anchors:
+            if tree.anchors:
                 page.linked[node] += n
             continue
         name = name.lower()
         if match.group(1) or match.group(4):
-            if name in ("br", "p") and not any(t == name for t, _ in stack):
+            k = tree.last(name)
+            if name in ("br", "p") and not k:
                 breaks = True
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    for t, _ in stack[k:]:
-                        hidden -= t in HIDDEN
-                        anchors -= t == "a"
-                        breaks = breaks or t not in INLINE
-                    del stack[k:]
-                    break
-                # A line element does not close the blocks around it.
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            # A line element does not close the blocks around it.
+            elif k and not (name in INLINE and tree.blocks[-1] > k):
+                breaks = tree.close(k) or breaks
             continue
         attributes = match.group(3) or match.group(6) or ""
         if len(stack) > 1 and stack[-1][0] == "head" and name not in IN_HEAD:
-            hidden -= 1
-            stack.pop()
+            tree.close(len(stack) - 1)
             breaks = True
-        if attributes.endswith("/") and (name in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+        if attributes.endswith("/") and (name in FOREIGN or tree.foreign):
             breaks = breaks or name not in INLINE and name not in FOREIGN
             continue
         close = None
         if name in ENDS_P:
-            close = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), None)
+            close = tree.last("p") or None
         elif name in SIBLINGS:
             same, stops = SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
-                    break
-                if stack[k][0] in same:
-                    close = k
-        if close is not None and not any(t in ("table", "article", "section", "div") for t, _ in stack[close + 1 :]):
-            for t, _ in stack[close:]:
-                hidden -= t in HIDDEN
-                anchors -= t == "a"
-            del stack[close:]
+            behind = max((tree.last(t) for t in stops), default=0)
+            close = min((k for k in (tree.outermost(t, behind) for t in same) if k is not None), default=None)
+        if close is not None and all(tree.last(t) <= close for t in ("table", "article", "section", "div")):
+            tree.close(close)
             breaks = True
         if name in VOID:
             breaks = breaks or name in ("br", "hr", "img")
@@ -163,18 +192,17 @@ def parse(html: str) -> Page:
             breaks = True
             continue
         if name in INLINE:
-            stack.append((name, stack[-1][1]))
-            anchors += name == "a"
+            tree.push(name, stack[-1][1])
             continue
         breaks = True
-        hidden += name in HIDDEN
+        hidden = tree.hidden or name in HIDDEN
         if not hidden:
             page.parent.append(stack[-1][1])
             page.tag.append(name)
             page.attributes.append(attributes)
             page.size.append(0)
             page.linked.append(0)
-        stack.append((name, len(page.tag) - 1 if not hidden else stack[-1][1]))
+        tree.push(name, len(page.tag) - 1 if not hidden else stack[-1][1])
     return page
 
 

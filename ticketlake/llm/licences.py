@@ -35,9 +35,11 @@ TAG = "spdx license identifier"
 FAMILIES = [
     ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"),
     ("isc", "isc"), ("bsl", "bsl"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("cc0", "cc0"),
-    ("unlicense", "unlicense"), ("zlib", "zlib"),
+    ("unlicense", "unlicense"), ("zlib", "zlib"), ("0bsd", "bsd"), ("artistic", "artistic"), ("busl", "busl"), ("cddl", "cddl"),
+    ("eupl", "eupl"), ("gfdl", "gfdl"), ("ncsa", "ncsa"), ("ofl", "ofl"), ("postgresql", "postgresql"), ("psf", "psf"), ("python", "psf"),
+    ("sspl", "sspl"), ("wtfpl", "wtfpl"), ("x11", "x11"),
 ]
-PERMISSIVE = {"apache", "mit", "bsd", "isc", "bsl", "cc-by", "cc0", "unlicense", "zlib"}
+PERMISSIVE = {"apache", "mit", "bsd", "isc", "bsl", "cc-by", "cc0", "unlicense", "zlib", "ncsa", "postgresql", "psf", "wtfpl", "x11"}
 #: How sure a finding is: a valid tag, a name with a notice, a bare name, a tag that cannot be parsed, a bare notice.
 SURE = {"tag": 1.0, "notice": 0.9, "name": 0.7, "broken": 0.5, "hint": 0.2}
 
@@ -47,29 +49,64 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def family(name: str) -> str:
-    low = name.lower()
-    return next((label for start, label in FAMILIES if low.startswith(start)), low)
+# Exceptions that lift the duty to share works linked with the licensed one, and others that do not.
+LINKING = frozenset(
+    """autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 ecos-exception-2.0
+    fltk-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1
+    i2p-gpl-java-exception lgpl-3.0-linking-exception libtool-exception llvm-exception ocaml-lgpl-linking-exception
+    openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 swift-exception wxwindows-exception-3.1""".split()
+)
+OTHER_EXCEPTIONS = frozenset("gpl-cc-1.0 linux-syscall-note mif-exception openvpn-openssl-exception u-boot-exception-2.0 universal-foss-exception-1.0".split())
+
+_PLAIN_WORD = re.compile(r"[A-Za-z][a-z]*[.:]?")
+
+
+def family(name: str) -> str | None:
+    """The label of a licence id: its family, an own licence's reference, or None for an unknown id.
+
+    An id is a family's name alone or with a version or variant behind a hyphen, as ``MIT``, ``MIT-0`` or ``GPL-2.0+``.
+    """
+    low = name.lower().rstrip(".:")
+    if re.fullmatch(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", low):
+        return low
+    for start, label in FAMILIES:
+        if re.fullmatch(rf"{start}(-[a-z0-9.-]+)?\+?", low):
+            return label
+    return None
+
+
+def _is_exception(name: str) -> bool:
+    return name.lower().rstrip(".:") in LINKING | OTHER_EXCEPTIONS
 
 
 def parse_expression(text: str) -> list[str] | None:
     """Reverse Polish form of a licence expression by the shunting-yard method (with before and before or); None if it
-    is malformed. Text after the expression, as comment ends, is left out."""
+    is malformed or names an unknown licence or exception.
+
+    Text after the expression, as comment ends, is left out; so is an operator that only a plain word follows, as in
+    ``MIT and more text``. A plain word cannot be part of an expression, so the expression ends before the operator.
+    """
     out: list[str] = []
     held: list[str] = []
     operand = True  # an id or "(" is expected
+    before: tuple[list[str], list[str]] | None = None  # both stacks before the last operator
 
     for token in _TOKEN.findall(text):
         low = token.lower()
         if operand:
-            if token == "(":
+            known = _is_exception(token) if held and held[-1] == "with" else family(token) is not None
+            if token == "(" and not (held and held[-1] == "with"):
                 held.append(token)
-                continue
-            if token == ")" or low in _RANK:
+            elif known:
+                out.append(token.rstrip(".:"))
+                operand = False
+            elif before is not None and _PLAIN_WORD.fullmatch(token) and low not in _RANK:
+                (out, held), operand = before, False
+                break
+            else:
                 return None
-            out.append(token)
-            operand = False
         elif low in _RANK:
+            before = list(out), list(held)
             while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[low]:
                 out.append(held.pop())
             held.append(low)
@@ -89,12 +126,14 @@ def parse_expression(text: str) -> list[str] | None:
 
 def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
     """Labels of all licences named, and whether the whole can be met by permissive licences alone: either side of an
-    or, both sides of an and; an exception after with lifts the duty to share linked works."""
+    or, both sides of an and; an exception for linked works after with lifts the duty to share them, another one does not."""
     stack: list[tuple[set[str], bool]] = []
     for token in rpn:
         if token in _RANK:
             (b, q), (a, p) = stack.pop(), stack.pop()
-            stack.append((a, True) if token == "with" else (a | b, p or q if token == "or" else p and q))
+            stack.append((a, p or q) if token == "with" else (a | b, p or q if token == "or" else p and q))
+        elif _is_exception(token):
+            stack.append((set(), token.lower() in LINKING))
         else:
             label = family(token)
             stack.append(({label}, label in PERMISSIVE))

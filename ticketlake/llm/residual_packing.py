@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import math
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -17,25 +17,30 @@ from pyspark.sql import DataFrame, functions as F
 from ticketlake.llm.common import batches, text_rows, text_slices
 from ticketlake.session import materialize
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Partition number times this, plus a counter, is the number of a sequence.
 STRIDE = 1 << 36
-_STOPS = ".,;:!?"
-_KEPT, _KEPT_LENGTH = 300_000, 64
+_STOPS = string.punctuation
+_KEPT, _KEPT_LENGTH = 500_000, 64
 
 
 class LetterMerges:
-    """The merges of a byte-pair vocabulary with word ends, applied to many words of a-z at once.
+    """The merges of a byte-pair vocabulary with word ends, applied to many words of Latin letters at once.
 
-    Of a word's neighbouring symbols the pair of lowest rank is merged, the first of equals, until no pair is a merge.
+    A word's first symbols are the bytes of its UTF-8 form. Of neighbouring symbols the pair of lowest rank is merged, the
+    first of equals, until no pair is a merge.
     """
 
-    LONGEST = 16
+    LONGEST = 16  # bytes
 
     def __init__(self, model: dict, suffix: str) -> None:
         ids = model["vocab"]
-        self.inner = np.array([ids[chr(c)] for c in range(97, 123)], np.int32)
-        self.last = np.array([ids[chr(c) + suffix] for c in range(97, 123)], np.int32)
+        # The vocabulary writes printable bytes as themselves and the others as the characters from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        signs = [chr(b if b in printable else next(others)) for b in range(256)]
+        self.inner = np.array([ids[c] for c in signs], np.int32)
+        self.last = np.array([ids[c + suffix] for c in signs], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([ids[a] << 16 | ids[b] for a, b in pairs], np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs] + [0], np.int32)
@@ -64,13 +69,15 @@ class LetterMerges:
             out[doubt] = np.where(self.keys[place] == k, self.ranks[place], self.none)
         return out
 
-    def codes(self, words: list[str]) -> list[bytes]:
-        """Ids of words of 1 to ``LONGEST`` letters a-z."""
-        if not words:
-            return []
+    def codes(self, words: list[str], block: int = 8192) -> list[bytes]:
+        """Ids of lower-case words of 1 to ``LONGEST`` bytes, each all letters; blocks that fit a core's cache."""
+        return [c for a in range(0, len(words), block) for c in self._block(words[a : a + block])]
+
+    def _block(self, words: list[str]) -> list[bytes]:
         width = self.LONGEST
-        sizes = np.array([len(w) for w in words])
-        letters = np.frombuffer("".join(w.ljust(width, "a") for w in words).encode(), np.uint8).reshape(-1, width) - 97
+        coded = [w.encode() for w in words]
+        sizes = np.array([len(w) for w in coded])
+        letters = np.frombuffer(b"".join(w.ljust(width) for w in coded), np.uint8).reshape(-1, width)
         columns = np.arange(width)
         symbols = np.where(columns == sizes[:, None] - 1, self.last[letters], self.inner[letters])
         ranks = np.full((len(words), width), self.none, np.int32)
@@ -120,30 +127,36 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        plain = {p: p.lower() for p in pieces if len(p) <= LetterMerges.LONGEST and p.isascii() and p.isalpha()}
+    def _learn(self, pieces: list[str], kept: dict[str, bytes]) -> None:
+        # Latin letters up to U+00FF: composed, and lowered one by one.
+        plain = {p: p.lower() for p in pieces if p.isalpha() and max(p) < "\u0100" and len(p.encode()) <= LetterMerges.LONGEST}
         others = [p for p in pieces if p not in plain]
-        return dict(zip(plain, self.letters.codes(list(plain.values())))) | dict(zip(others, self._encoded(others)))
+        kept.update(zip(plain, self.letters.codes(list(plain.values()))))
+        kept.update(zip(others, self._encoded(others)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | None] = [
-            None if any(s in text for s in self.special) else text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts
-        ]
-        words = list(set().union(*(c for c in cut if c is not None)))
-        cores = [w.rstrip(_STOPS) for w in words]
+        special = [any(s in text for s in self.special) for text in texts]
+        cut = [[] if whole else text.replace("\n", " ").replace("\t", " ").split(" ") for text, whole in zip(texts, special)]
+        words = set().union(*cut)
+        kept = self.kept
+        new = [w for w in words if w not in kept]
+        if len(kept) + len(new) > _KEPT:
+            kept = {w: kept[w] for w in words if w in kept}
+        cores = [w.rstrip(_STOPS) for w in new]
         # A Latin letter before the stops: other characters may form one run with them.
-        cores = [c if c and c[-1].isalpha() and c[-1] < "\u0100" else w for c, w in zip(cores, words)]
-        stops = [w[len(c) :] for c, w in zip(cores, words)]
-        needed = set(cores) | set(stops)
-        new = self._learn([p for p in needed if p not in self.kept])
-        if len(self.kept) + len(new) > _KEPT:
-            self.kept = {p: self.kept[p] for p in needed if p in self.kept}
-        self.kept |= {p: c for p, c in new.items() if len(p) <= _KEPT_LENGTH}
-        kept, long = self.kept, {p: c for p, c in new.items() if len(p) > _KEPT_LENGTH}
-        code = kept.__getitem__ if not long else lambda p: long[p] if p in long else kept[p]
-        whole = {w: code(c) + code(s) if s else code(c) for w, c, s in zip(words, cores, stops)}
-        return [self._encoded([t])[0] if c is None else b"".join(map(whole.__getitem__, c)) for t, c in zip(texts, cut)]
+        cores = [c if c and c[-1].isalpha() and c[-1] < "\u0100" else w for c, w in zip(cores, new)]
+        stops = [w[len(c) :] for c, w in zip(cores, new)]
+        self._learn([p for p in {*cores, *stops} if p not in kept], kept)
+        for w, c, s in zip(new, cores, stops):
+            if s:
+                kept[w] = kept[c] + kept[s]
+        out = [self._encoded([t])[0] if w else b"".join(map(kept.__getitem__, c)) for t, c, w in zip(texts, cut, special)]
+        # Words as long as a text are not kept for the next ones.
+        for w in [w for w in (*new, *cores, *stops) if len(w) > _KEPT_LENGTH]:
+            kept.pop(w, None)
+        self.kept = kept
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -221,11 +234,9 @@ def _local(path: str, size: int, slack: int, end_id: int):
                 number += at == number
                 yield *p, at, place, None
 
-        gc.disable()  # the many small strings of a chunk hold no cycles, and looking for some takes a fifth of the time
         for batch in it:
             for part in text_slices(batch, CHUNK_BYTES):
                 yield from batches(_PIECES, chunk(part))
-        gc.enable()
         yield from batches(_PIECES, ((None, None, None, None, None, n, None, fill) for n, fill in bins.underfull()))
 
     return run
