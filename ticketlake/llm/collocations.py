@@ -242,7 +242,8 @@ def _count_longer(numbers, pairs) -> Callable:
                 key = (ids[at] << BITS | ids[at + 1]) << BITS | ids[at + 2]
                 threes.add(key)
                 longer = np.append(three, False)[at + 1] if len(at) else np.zeros(0, bool)
-                fours.append(np.stack([key[longer], ids[at[longer] + 3]], axis=1))
+                if longer.any():
+                    fours.append(np.stack([key[longer], ids[at[longer] + 3]], axis=1))
                 if threes.held + sum(map(len, fours)) > _HELD_PAIRS:
                     yield from flush()
         yield from flush()
