@@ -165,7 +165,7 @@ def _estimator(kind: str, n_classes: int, **options):
         )
     if kind == "boosted":
         one = GBTClassifier(
-            maxIter=options.get("rounds", 20), maxDepth=options.get("max_depth", 5),
+            maxIter=options.get("rounds", 1200), maxDepth=options.get("max_depth", 8),
             stepSize=options.get("learning_rate", 0.1), subsamplingRate=options.get("subsample", 0.9),
             validationIndicatorCol="_validation", validationTol=0.0, seed=options.get("seed", 42),
         )
@@ -354,7 +354,7 @@ def weighted_f1(classifier, test: DataFrame, label: str) -> DataFrame:
     return f1_weighted(classifier.score(test.withColumn("_actual", _label(label))), "_actual", "predicted")
 
 
-def token_probe(train: DataFrame, label: str, text: list[str], top: int = 10, max_iter: int = 100) -> DataFrame:
+def token_probe(train: DataFrame, label: str, text: list[str], top: int = 10, max_iter: int = 1000) -> DataFrame:
     """(class, rank, term, coefficient): the strongest terms of each class in a text-only linear model."""
     probe = train_classifier(
         train, label, FeatureBlocks(list(text), [], []), weighted=False, max_iter=max_iter, reg_param=1.0 / train.count()

@@ -732,28 +732,28 @@ def train_eval_structured(spark, sf):
 @query
 def train_eval_forest(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks().without_text(), "forest")
+    model = models.train_classifier(train, "category", _blocks(), "forest")
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def train_eval_boosted(spark, sf):
     train, val, test = _train_test(spark, sf)
-    model = models.train_classifier(train, "category", _blocks().without_text(), "boosted", validation=val)
+    model = models.train_classifier(train, "category", _blocks().without_text(), "boosted", validation=val, rounds=20, max_depth=5)
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def train_eval_text(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_text_network(train, "category", TEXT_COLUMNS)
+    model = models.train_text_network(train, "category", TEXT_COLUMNS, svd_dim=16, hidden=64, max_iter=20)
     return _report(models.evaluate(model, test, "category"))
 
 
 @query
 def train_eval_full_network(spark, sf):
     train, _, test = _train_test(spark, sf)
-    model = models.train_full_network(train, "category", _blocks())
+    model = models.train_full_network(train, "category", _blocks(), 16, 64, max_iter=20)
     return _report(models.evaluate(model, test, "category"))
 
 
