@@ -8,6 +8,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,24 @@ def test_block_max_search_equals_brute_force():
         assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
 
 
+def test_block_max_dense_columns(monkeypatch):
+    """Many documents at once find what each finds alone, whichever terms are dense columns; terms are counted by batch."""
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(1, 9, 60)
+    make = lambda: (lambda t: (t, rng.integers(1, 5, len(t)).tolist()))(sorted(rng.choice(60, int(rng.integers(0, 9)), replace=False).tolist()))
+    examples, asked = [(i, i % 2, *make()) for i in range(400)], [make() for _ in range(150)]
+    found = []
+    for dense in (0, 7, 60):
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        index = toxicity.BlockMaxIndex.build(idf, examples, block=16)
+        found.append(index.nearest_of(asked, 9, list(range(150))))
+        assert found[-1] == [index.nearest(t, c, 9, without=i) for i, (t, c) in enumerate(asked)]
+    assert found[0] == found[1] == found[2] and any(found[0]) and not any(index.ids[r] == i for i, f in enumerate(found[0]) for _, r in f)
+    texts = pa.array(["", "b A\x00a", "\u00c9t\u00e9 zz", "a-c,B b"])
+    terms, counts, ends = toxicity.tally(texts, pa.array(["a", "b", "c", "\u00e9t\u00e9"], pa.large_string()))
+    assert (terms.tolist(), counts.tolist(), ends.tolist()) == ([0, 1, 3, 0, 1, 2], [2, 1, 1, 1, 2, 1], [0, 2, 3, 6])
+
+
 def test_clean_examples_are_neighbours_too(spark):
     """A document without any term that speaks for label 1 is searched as well."""
     rng = np.random.default_rng(9)

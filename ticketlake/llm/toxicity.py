@@ -3,27 +3,30 @@
 The vocabulary is all terms of the examples. A term's weight is its TF-IDF times one plus the log-likelihood ratio of its
 counts in both classes, counted over examples without their copies, so that terms that tell the classes apart decide
 which examples are near; document frequencies are counted over all documents. Examples are kept in blocks of an inverted
-index that also holds the largest weight of a term in each block: blocks are visited from the highest possible score
-down, and the search ends when no block can improve the k nearest.
+index that also holds the largest weight of a term in each block: the blocks of highest possible score are visited first,
+then those that can still improve the k nearest. The terms of most examples are dense columns as well, which are multiplied
+as a matrix for many documents at a time: their part of a score is known before the bounds, which it makes tight.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ticketlake.llm import words
-from ticketlake.llm.common import bounded_sample, fold, text_buffer, text_rows, text_slices
+from ticketlake.llm.common import BLOCK_BYTES, bounded_sample, fold, text_buffer, text_rows, text_slices
 from ticketlake.llm.quality import _sigmoid, labelled_ids
 from ticketlake.session import materialize
 
 # Labelled examples of each class, examples in a block, neighbours that vote, blocks that a search scores first.
 MAX_EXAMPLES, BLOCK, NEIGHBOURS, FIRST_BLOCKS = 4000, 64, 15, 4
+# Terms that are dense columns (8 bytes an example each), documents multiplied with them at a time.
+DENSE, QUERIES = 512, 64
 #: A term that is reported as evidence speaks for label 1 beyond chance (log-likelihood ratio, one degree of freedom: a chance of 8e-6)
 #: and strongly (odds ratio).
 LEAST_RATIO, LEAST_ODDS = 20.0, 4.0
@@ -83,25 +86,40 @@ def without_copies(examples: DataFrame) -> DataFrame:
     return found.join(copy, "id", "left_anti").drop("least", "shingles")
 
 
-def tally(text: str, vocabulary: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """Terms of the vocabulary in the text, ascending, and their counts."""
-    found = Counter(terms_of(text))
-    held = sorted((vocabulary[w], n) for w, n in found.items() if w in vocabulary)
-    return [t for t, _ in held], [n for _, n in held]
+def tally(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the vocabulary in each text, ascending, and their counts, one text after another, and where each text ends."""
+    clean = pa.array([t.lower().encode("utf-8", "replace").translate(_SPACES) for t in texts.to_pylist()], pa.large_binary()).cast(pa.large_string())
+    split = pc.ascii_split_whitespace(clean)
+    found = split.flatten().dictionary_encode()
+    place = pc.index_in(found.dictionary, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+    term = place[found.indices.to_numpy(zero_copy_only=False)]
+    text = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    key, counts = np.unique((text * len(vocabulary) + term)[term >= 0], return_counts=True)
+    text, term = np.divmod(key, max(len(vocabulary), 1))
+    return term.astype(np.int32), counts.astype(np.int32), np.searchsorted(text, np.arange(1, len(texts) + 1))
 
 
-def _vectors(vocabulary: dict[bytes, int]):
+def tallied(batch: pa.RecordBatch, vocabulary: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each text of a batch."""
+    out = []
+    for part in text_slices(batch, 4 * BLOCK_BYTES):
+        terms, counts, ends = tally(part.column("text"), vocabulary)
+        out += zip(np.split(terms, ends[:-1]), np.split(counts, ends[:-1]))
+    return out
+
+
+def _vectors(vocabulary: pa.Array):
     schema = pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            both = [tally(text.as_py(), vocabulary) for text in batch.column("text")]
+            both = tallied(batch, vocabulary)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([b[k] for b in both], schema[1].type) for k in (0, 1))], schema=schema)
 
     return run, "id bigint, terms array<int>, counts array<int>"
 
 
-def _frequencies(vocabulary: dict[bytes, int]):
+def _frequencies(vocabulary: pa.Array):
     """Documents of a task that hold each term of the vocabulary, and all its documents as term -1."""
     schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
 
@@ -109,11 +127,8 @@ def _frequencies(vocabulary: dict[bytes, int]):
         seen = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in it:
             seen[-1] += len(batch)
-            for text in batch.column("text"):
-                for w in set(terms_of(text.as_py())):
-                    t = vocabulary.get(w)
-                    if t is not None:
-                        seen[t] += 1
+            for part in text_slices(batch, 4 * BLOCK_BYTES):
+                seen[:-1] += np.bincount(tally(part.column("text"), vocabulary)[0], minlength=len(vocabulary))
         held = np.flatnonzero(seen)
         terms = np.where(held == len(vocabulary), -1, held).astype(np.int32)
         for i in range(0, len(held), 100_000):
@@ -132,7 +147,8 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples. Postings (``rows``, ``weights``) lie by term, then example. An entry is the
     postings of one term in one block: ``entries[t]`` is the first entry of term t, ``places[e]`` the first posting of
-    entry e (both with an end), ``blocks[e]`` its block and ``tops[e]`` its largest weight."""
+    entry e (both with an end), ``blocks[e]`` its block and ``tops[e]`` its largest weight. ``dense[column[t]]`` are the
+    weights of term t in all examples if it is one of the DENSE terms of most examples; ``column[t]`` is -1 for others."""
 
     idf: np.ndarray
     ids: np.ndarray
@@ -144,6 +160,8 @@ class BlockMaxIndex:
     blocks: np.ndarray
     tops: np.ndarray
     block: int
+    column: np.ndarray
+    dense: np.ndarray
 
     @staticmethod
     def build(idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], block: int = BLOCK) -> "BlockMaxIndex":
@@ -162,43 +180,68 @@ class BlockMaxIndex:
         terms, rows, weights = terms[order], rows[order], weights[order]
         key = terms * (len(held) // block + 1) + rows // block
         places = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        most = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:DENSE]
+        column = np.full(len(idf), -1)
+        column[most] = np.arange(len(most))
+        dense, common = np.zeros((len(most), len(held))), column[terms] >= 0
+        dense[column[terms[common]], rows[common]] = weights[common]
         return BlockMaxIndex(
             idf, np.array([e[1] for e in held], np.int64), np.array([e[2] for e in held], np.int64), rows, weights,
             np.searchsorted(terms[places], np.arange(len(idf) + 1)), np.append(places, len(terms)), rows[places] // block,
-            np.maximum.reduceat(weights, places) if len(places) else weights, block,
+            np.maximum.reduceat(weights, places) if len(places) else weights, block, column, dense,
         )
 
     def nearest(self, terms: list[int], counts: list[int], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, as (cosine, row), by cosine, then row. ``without`` is an id to leave out."""
-        if not len(terms) or not len(self.ids):
-            return []
-        q, t = weigh(self.idf, terms, counts), np.asarray(terms)
-        entries = _ranges(self.entries[t], self.entries[t + 1])
-        q = np.repeat(q, self.entries[t + 1] - self.entries[t])
-        blocks = self.blocks[entries]
-        bound = np.bincount(blocks, q * self.tops[entries], minlength=-(-len(self.ids) // self.block))
-        order = np.lexsort((np.arange(len(bound)), -bound))
+        return self.nearest_of([(terms, counts)], k, None if without is None else [without])[0]
+
+    def nearest_of(self, documents: list[tuple], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of many documents (terms, counts), each without the id of its place in ``without``."""
+        out: list[list[tuple[float, int]]] = []
+        if not len(self.ids):
+            return [[] for _ in documents]
+        starts = np.arange(0, len(self.ids), self.block)
+        for at in range(0, len(documents), QUERIES):
+            rest, parts = [], np.zeros((min(QUERIES, len(documents) - at), len(self.dense)))
+            for part, (terms, counts) in zip(parts, documents[at : at + QUERIES]):
+                t = np.asarray(terms, np.int64)
+                q, column = weigh(self.idf, t, counts) if len(t) else np.zeros(0), self.column[t]
+                part[column[column >= 0]] = q[column >= 0]
+                rest.append((t[column < 0], q[column < 0]))
+            scores = parts @ self.dense
+            highest = np.maximum.reduceat(scores, starts, axis=1)
+            for n, (t, q) in enumerate(rest):
+                out.append(self._search(t, q, scores[n], highest[n], k, None if without is None else without[at + n]))
+        return out
+
+    def _search(self, t: np.ndarray, q: np.ndarray, score: np.ndarray, highest: np.ndarray, k: int, without: int | None) -> list[tuple[float, int]]:
+        """``score`` is what dense columns add to each example, ``highest`` its largest value in each block; t and q are other terms."""
+        low, high = self.entries[t], self.entries[t + 1]
+        entries = _ranges(low, high)
+        q, blocks = np.repeat(q, high - low), self.blocks[entries]
+        bound = highest + np.bincount(blocks, q * self.tops[entries], minlength=len(highest))
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        at, step = 0, FIRST_BLOCKS
-        while at < len(order):
+        for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
-            some = order[at : at + step]
             some = some[(bound[some] > 0) & (bound[some] >= least)]
             if not len(some):
                 break
             wanted = np.zeros(len(bound), bool)
             wanted[some] = True
-            hit = wanted[blocks]
+            hit = np.flatnonzero(wanted[blocks])
             low, high = self.places[entries[hit]], self.places[entries[hit] + 1]
             p = _ranges(low, high)
-            score = np.bincount(self.rows[p], np.repeat(q[hit], high - low) * self.weights[p], minlength=len(self.ids)).round(12)
+            full = score + np.bincount(self.rows[p], np.repeat(q[hit], high - low) * self.weights[p], minlength=len(score))
             if without is not None:
-                score[self.ids == without] = 0
-            found = np.flatnonzero(score > 0)
+                full[self.ids == without] = 0
+            found = np.flatnonzero((full > 0) & (full >= least))
+            found = found[wanted[found // self.block]]
+            full = full[found].round(12)
             if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], -k)[-k]]
-            best = sorted(best + [(-s, r) for s, r in zip(score[found].tolist(), found.tolist())])[:k]
-            at, step = at + step, 2 * step
+                high = full >= np.partition(full, -k)[-k]
+                found, full = found[high], full[high]
+            best = sorted(best + [(-s, r) for s, r in zip(full.tolist(), found.tolist()) if s > 0])[:k]
         return [(-s, r) for s, r in best]
 
     def vote(self, neighbours: list[tuple[float, int]]) -> float:
@@ -264,13 +307,13 @@ def _votes(examples: Examples, k: int):
         index = examples.index()
         for batch in it:
             columns = [batch.column(n).to_pylist() for n in ("id", "terms", "counts")]
-            near = [index.nearest(t, c, k, without=i) for i, t, c in zip(*columns)]
+            near = index.nearest_of(list(zip(*columns[1:])), k, columns[0])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([index.vote(n) if n else None for n in near], pa.float64())], schema=schema)
 
     return run, "id bigint, vote double"
 
 
-def _score(examples: Examples, curve: tuple[float, float], nothing: float, k: int, vocabulary: dict[bytes, int], evidence: dict[int, str]):
+def _score(examples: Examples, curve: tuple[float, float], nothing: float, k: int, vocabulary: pa.Array, evidence: dict[int, str]):
     schema = pa.schema([
         ("id", pa.int64()), ("score", pa.float64()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())),
         ("matched", pa.list_(pa.string())),
@@ -279,16 +322,15 @@ def _score(examples: Examples, curve: tuple[float, float], nothing: float, k: in
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = examples.index()
         for batch in it:
-            seen: dict[tuple, tuple] = {}
-            out = []
-            for text in batch.column("text"):
-                terms, counts = tally(text.as_py(), vocabulary)
-                key = (*terms, -1, *counts)
-                if key not in seen:
-                    near = index.nearest(terms, counts, k)
-                    score = float(_sigmoid(curve[0] * (index.vote(near) - 0.5) + curve[1])) if near else nothing
-                    seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [evidence[t] for t in terms if t in evidence])
-                out.append(seen[key])
+            # Documents of the same counted terms are searched once.
+            both = tallied(batch, vocabulary)
+            keys = [np.concatenate(b).tobytes() for b in both]
+            distinct = dict(zip(keys, both))
+            seen: dict[bytes, tuple] = {}
+            for (key, (terms, _)), near in zip(distinct.items(), index.nearest_of(list(distinct.values()), k)):
+                score = float(_sigmoid(curve[0] * (index.vote(near) - 0.5) + curve[1])) if near else nothing
+                seen[key] = (score, [int(index.ids[r]) for _, r in near], [s for s, _ in near], [evidence[t] for t in terms.tolist() if t in evidence])
+            out = [seen[key] for key in keys]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
     return run, "id bigint, score double, nearest array<bigint>, cosines array<double>, matched array<string>"
@@ -327,7 +369,7 @@ def score_toxicity(
     a, n = (counted.column(c).to_numpy().astype(np.float64) for c in ("a", "n")) if counted else (np.zeros(0), np.zeros(0))
     ratio, odds = class_ratios(a, n - a, n1, n0)
     evidence = {t: vocabulary[t] for t in np.flatnonzero((ratio >= LEAST_RATIO) & (odds >= LEAST_ODDS)).tolist()}
-    places = {w.encode(): i for i, w in enumerate(vocabulary)}
+    places = pa.array(vocabulary, pa.large_string())
     run, schema = _frequencies(places)
     counted = source.mapInArrow(run, schema).groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     which, number = counted.column("t").to_numpy(), counted.column("n").to_numpy()
